@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, packing, toxicity, url_filter
+from . import chat_format, decontaminate, jaccard_join, line_dedup, packing, suffix_dedup, toxicity, url_filter
 from .text import utf8_sha256
 
 
@@ -41,12 +41,23 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(_read(spark, sf_dir, "conversations"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document what removing repeated 400-byte strings leaves of it."""
+    out = suffix_dedup.suffix_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its toxicity score."""
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_best_fit_packing, op5_url_filter, op6_chat_format, op9_toxicity)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its shingle count and its component of near copies."""
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_best_fit_packing, op5_url_filter, op6_chat_format, op7_suffix_dedup, op9_toxicity, op10_ngram_jaccard_join)}
 
 #: Windows and documents as lists of words; a window counts where its words stand one after the other.
 _OP2_SQL = r"""
