@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, line_dedup, packing, suffix_dedup, toxicity, url_filter
+from . import chat_format, decontaminate, fingerprint, html_extract, jaccard_join, line_dedup, packing, suffix_dedup, toxicity, url_filter
 from .text import utf8_sha256
 
 
@@ -26,6 +26,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page its main text."""
+    return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per piece of a document its sequence and offset."""
     return packing.pack(_read(spark, sf_dir, "documents"))
@@ -47,6 +52,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its fingerprint, that of its edited text, and their likeness."""
+    return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its toxicity score."""
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -57,7 +67,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_best_fit_packing, op5_url_filter, op6_chat_format, op7_suffix_dedup, op9_toxicity, op10_ngram_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_html_extraction, op4_best_fit_packing, op5_url_filter, op6_chat_format, op7_suffix_dedup, op8_document_fingerprints, op9_toxicity, op10_ngram_jaccard_join)}
 
 #: Windows and documents as lists of words; a window counts where its words stand one after the other.
 _OP2_SQL = r"""
