@@ -1,4 +1,4 @@
 """Every registered query with its oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import text_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
