@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import materialised
 
 #: Query rows whose postings are broadcast (a few hundred terms of about 40 bytes each).
 BROADCAST_QUERIES = 2_000
@@ -43,8 +44,8 @@ def tfidf_top_k(queries: DataFrame, base: DataFrame, k: int, blocks: list[str] |
     """
     blocks = blocks or []
     n = base.count()
-    post = postings(base, "doc_id", T.word_tokens(F.col("text")))
-    idf = idf_model(post, n)
+    post = materialised(postings(base, "doc_id", T.word_tokens(F.col("text"))))
+    idf = materialised(idf_model(post, n))
     own, theirs = weighted(postings(queries, "query_id", T.word_tokens(F.col("text"))), idf), weighted(post, idf)
     q = own.select(F.col("id").alias("query_id"), "term", F.col("w").alias("wq")).join(queries.select("query_id", *blocks), "query_id")
     q = F.broadcast(q) if queries.count() <= BROADCAST_QUERIES else q
@@ -52,7 +53,7 @@ def tfidf_top_k(queries: DataFrame, base: DataFrame, k: int, blocks: list[str] |
     if blocks:
         b = b.join(base.select("doc_id", *blocks), "doc_id")
     scored = q.join(b, ["term", *blocks]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("wq") * F.col("wb")), 6).alias("score"))
-    scored = top_k(scored, k).drop("rank")
+    scored = materialised(top_k(scored, k).drop("rank"))
     # fillers: the smallest ids of the block; at most k of them can be among the scored ones
     if blocks:
         first = base.select("doc_id", *blocks).withColumn("r", F.row_number().over(Window.partitionBy(*blocks).orderBy("doc_id"))).where(F.col("r") <= 2 * k).drop("r")
@@ -85,7 +86,7 @@ METHODS = {
 
 def bm25(queries: DataFrame, base: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) over postings."""
-    post = postings(base, "doc_id", T.word_tokens(F.col("text")))
+    post = materialised(postings(base, "doc_id", T.word_tokens(F.col("text"))))
     sizes = post.groupBy("id").agg(F.sum("tf").alias("dl"))
     stats = sizes.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     df = post.groupBy("term").agg(F.count("*").cast("double").alias("df"))

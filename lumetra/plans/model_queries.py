@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import metrics, ml, split
+from ..sources.shared import materialised, shared_dir
 from ..sources.tables import table
 from ..streaming import jobs
 from .registry import query
@@ -21,7 +22,8 @@ def _fitted(spark, d, kind):
     rows = _labelled(spark, d)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     features = ml.TextFeatures(size=2000 if kind in ("rf", "gbt") else 10_000).fit(train, "text")
-    return features, ml.select_model(kind, features.transform(train).select("doc_id", "label", "features").cache()), features.transform(test)
+    test = materialised(features.transform(test).select("doc_id", "label", "features"))
+    return features, ml.select_model(kind, materialised(features.transform(train).select("doc_id", "label", "features"))), test
 
 
 def _metrics(kind):
@@ -56,12 +58,7 @@ def kmeans_eval(spark, d):
 
 
 def _folder(spark, name):
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        import tempfile
-
-        named = "file://" + tempfile.mkdtemp(prefix="lumetra-stream-")
-    return f"{named}/stream-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
 @query()
