@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .storage import materialise
 from .text import ascii_lower, cased_words
 
-#: Item shingles up to this many rows are broadcast (at most about 30 MB); beyond it both sides are shuffled.
+#: Item shingles and (window, item) rows up to this many are broadcast (about 30 MB); beyond it both sides are shuffled.
 BROADCAST_SHINGLES = 200_000
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -58,7 +58,8 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, shin
     for k in sizes[1:]:
         key = key.when(F.col("k") == k, F.xxhash64(*[F.get(folded, F.lit(i)) for i in range(k)]))
     vocabulary = parts.select("shingle", "k").distinct().withColumn("h", key)
-    small = vocabulary.count() <= BROADCAST_SHINGLES
+    named = wins.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
+    small = max(named, vocabulary.count()) <= BROADCAST_SHINGLES
 
     doc = documents.select("doc_id", F.xxhash64("text").alias("th"), cased_words(F.col("text")).alias("w"))
     seen = None
