@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 LENGTH, GRAM, BLOCK = 400, 200, 10
+#: Documents whose Python objects a task holds at a time.
+DOCS_AT_ONCE = 1000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BYTE_NAMES = [np.random.default_rng(k).integers(1, 2**63, 256, dtype=np.uint64) for k in (71, 72)]
 
@@ -102,10 +104,18 @@ def _contexts(first, owned, place, one: Buckets, two: Buckets, length: int):
     return one.after(GRAM)[place].view(np.int64), (place - first).astype(np.int32), owned.astype(np.int32), one.spans(first, size).view(np.int64), two.spans(first, size).view(np.int64)
 
 
-def _arrow(names: list[str], columns: list, types: list):
+def _types(schema: str) -> list[tuple]:
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "byte": pa.int8()}
+    return [(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))]
+
+
+def _arrow(types: list[tuple], columns: list[np.ndarray] | None):
+    import pyarrow as pa
+
+    columns = columns or [np.empty(0, np.int64)] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, types, strict=True)], names=[n for n, _ in types])
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -122,7 +132,7 @@ def _suffixes(docs: DataFrame, length: int) -> DataFrame:
 
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "th", "first", "owned", "off", "gram", "c1", "c2"]
-        for batch in batches:
+        for batch in (b.slice(k, DOCS_AT_ONCE) for b in batches for k in range(0, b.num_rows, DOCS_AT_ONCE)):
             ids, hashes, columns, sizes = [], [], [[] for _ in range(6)], []
             for doc, th, body in zip(batch["doc_id"].to_pylist(), batch["th"].to_pylist(), batch["body"].to_pylist(), strict=True):
                 found = sample(body, length)
@@ -144,63 +154,71 @@ def _suffixes(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, first int, owned int, off int, gram long, c1 long, c2 long")
 
 
-def _blocks(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Blocks and windows of the contexts ``wanted`` (doc_id, th, list of suffixes): the refinement's names.
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) for every value from ``low`` to ``high`` of each row."""
+    counts = np.maximum(high - low + 1, 0)
+    row = np.repeat(np.arange(len(low)), counts)
+    return row, low[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
-    kind 0: the bytes common to a block's windows; 1: all bytes of a whole block; 2: one window. ``g`` is the
-    block (or the offset of the window), n1 and n2 the names, cid the context.
-    """
 
-    def run(batches):
-        import pyarrow as pa
+def _lists(batch, column: str):
+    """(body, field -> array) for each row of a batch with a list of structs, without Python objects of them."""
+    lists, bodies = batch[column], batch["body"].to_pylist()
+    flat, ends = lists.flatten(), lists.offsets.to_numpy()
+    ends = ends - ends[0]
+    fields = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False).astype(np.int64) for f in flat.type}
+    for k, body in enumerate(bodies):
+        yield body, {n: v[ends[k] : ends[k + 1]] for n, v in fields.items()}
+
 
-        names, types = ["cid", "gram", "kind", "g", "n1", "n2"], [pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int64(), pa.int64()]
-        for batch in batches:
-            for suffixes, body in zip(batch["suffixes"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                one, two = Buckets(body, 0), Buckets(body, 1)
-                out = [[] for _ in names]
+def _named(body: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(Buckets(body, lane).spans(start, size).view(np.int64) for lane in (0, 1))
 
-                def put(cid, gram, kind, g, start, size):
-                    n1, n2 = one.spans(start, size).view(np.int64), two.spans(start, size).view(np.int64)
-                    for store, c in zip(out, (np.full(len(g), cid), np.full(len(g), gram), np.full(len(g), kind), g, n1, n2), strict=True):
-                        store.append(c)
 
-                for s in suffixes:
-                    offsets = s["off"] - np.arange(s["owned"])  # of the owned starts, descending
-                    place = s["first"] + s["off"]
-                    g = np.unique(offsets // BLOCK)
-                    put(s["cid"], s["gram"], 0, g, place - g * BLOCK, np.full(len(g), length - BLOCK + 1))
-                    whole = g[(g * BLOCK >= offsets[-1]) & (g * BLOCK + BLOCK - 1 <= offsets[0])]
-                    put(s["cid"], s["gram"], 1, whole, place - whole * BLOCK - BLOCK + 1, np.full(len(whole), length + BLOCK - 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=t) for c, t in zip(out, types, strict=True)], names=names)
+def _held(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The texts that ``wanted`` (w_id, w_th, a list) asks for, one row each."""
+    held = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["th"] == wanted["w_th"]))
+    return held.dropDuplicates(["doc_id", "th"]).select(column, "body")
 
-    held = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["th"] == wanted["w_th"])).dropDuplicates(["doc_id", "th"]).select("suffixes", "body")
-    return held.mapInArrow(run, "cid long, gram long, kind byte, g int, n1 long, n2 long")
+
+def _blocks(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """Blocks of the contexts ``wanted`` (doc_id, th, list of suffixes): the refinement's names.
+
+    kind 0: the bytes common to a block's windows; 1: all bytes of a whole block. ``g`` is the block, n1 and
+    n2 the names, cid the context.
+    """
+
+    def run(batches):
+        types = _types("cid long, gram long, kind byte, g int, n1 long, n2 long")
+        for batch in (b.slice(k, DOCS_AT_ONCE) for b in batches for k in range(0, b.num_rows, DOCS_AT_ONCE)):
+            out = []
+            for body, s in _lists(batch, "suffixes"):
+                place, low = s["first"] + s["off"], s["off"] - s["owned"] + 1
+                row, g = _spread(low // BLOCK, s["off"] // BLOCK)
+                whole = (g * BLOCK >= low[row]) & (g * BLOCK + BLOCK - 1 <= s["off"][row])
+                kind = np.concatenate([np.zeros(len(g), np.int64), np.ones(int(whole.sum()), np.int64)])
+                row, g = np.concatenate([row, row[whole]]), np.concatenate([g, g[whole]])
+                n1, n2 = _named(body, place[row] - g * BLOCK - kind * (BLOCK - 1), np.where(kind == 1, length + BLOCK - 1, length - BLOCK + 1))
+                out.append((s["cid"][row], s["gram"][row], kind, g, n1, n2))
+            yield _arrow(types, [np.concatenate(c) for c in zip(*out, strict=True)] if out else None)
+
+    return _held(docs, wanted, "suffixes").mapInArrow(run, "cid long, gram long, kind byte, g int, n1 long, n2 long")
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Names of single windows: cid, gram, o (offset before the gram), n1, n2 for the blocks in ``wanted``."""
 
     def run(batches):
-        import pyarrow as pa
+        types = _types("cid long, gram long, o int, n1 long, n2 long")
+        for batch in (b.slice(k, DOCS_AT_ONCE) for b in batches for k in range(0, b.num_rows, DOCS_AT_ONCE)):
+            out = []
+            for body, s in _lists(batch, "blocks"):
+                row, o = _spread(np.maximum(s["off"] - s["owned"] + 1, s["g"] * BLOCK), np.minimum(s["off"], s["g"] * BLOCK + BLOCK - 1))
+                n1, n2 = _named(body, (s["first"] + s["off"])[row] - o, np.full(len(o), length))
+                out.append((s["cid"][row], s["gram"][row], o, n1, n2))
+            yield _arrow(types, [np.concatenate(c) for c in zip(*out, strict=True)] if out else None)
 
-        names, types = ["cid", "gram", "o", "n1", "n2"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        for batch in batches:
-            for blocks, body in zip(batch["blocks"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                one, two = Buckets(body, 0), Buckets(body, 1)
-                out = [[] for _ in names]
-                for b in blocks:
-                    low, high = b["off"] - b["owned"] + 1, b["off"]
-                    o = np.arange(max(low, b["g"] * BLOCK), min(high, b["g"] * BLOCK + BLOCK - 1) + 1)
-                    start = b["first"] + b["off"] - o
-                    size = np.full(len(o), length)
-                    row = (np.full(len(o), b["cid"]), np.full(len(o), b["gram"]), o, one.spans(start, size).view(np.int64), two.spans(start, size).view(np.int64))
-                    for store, c in zip(out, row, strict=True):
-                        store.append(c)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=t) for c, t in zip(out, types, strict=True)], names=names)
-
-    held = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["th"] == wanted["w_th"])).dropDuplicates(["doc_id", "th"]).select("blocks", "body")
-    return held.mapInArrow(run, "cid long, gram long, o int, n1 long, n2 long")
+    return _held(docs, wanted, "blocks").mapInArrow(run, "cid long, gram long, o int, n1 long, n2 long")
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -244,27 +262,35 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole(held.where("uniform")).unionByName(whole(again)).unionByName(refined)
 
 
+def _lengths(lists) -> list:
+    import pyarrow.compute as pc
+
+    return pc.list_value_length(lists).to_pylist()
+
+
 def remove_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) for every document row."""
     docs = _keyed(documents)
-    runs = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    packed = F.col("start").cast("long") * F.lit(2**32) + F.col("stop")
+    runs = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(F.sort_array(F.collect_set(packed)).alias("spans"))
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(k, DOCS_AT_ONCE) for b in batches for k in range(0, b.num_rows, DOCS_AT_ONCE)):
             out = []
-            for doc, body, found in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                removed, n, at, kept = 0, 0, 0, []
-                for s in found or []:
-                    if s["start"] > at or not n:
-                        kept.append(body[at : s["start"]])
-                        n, at = n + 1, s["start"]
-                    if s["stop"] > at:
-                        removed += s["stop"] - at
-                        at = s["stop"]
-                kept.append(body[at:])
-                out.append((doc, len(body), removed, n, b"".join(kept)))
+            flat = batch["spans"].flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *(x or 0 for x in _lengths(batch["spans"]))])
+            for k, (doc, body) in enumerate(zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), strict=True)):
+                found = flat[ends[k] : ends[k + 1]]
+                if not len(found):
+                    out.append((doc, len(body), 0, 0, body))
+                    continue
+                start, stop = found >> 32, np.maximum.accumulate(found & (2**32 - 1))
+                fresh = np.concatenate([[True], start[1:] > stop[:-1]])
+                first, last = start[fresh], stop[np.concatenate([fresh[1:], [True]])]
+                kept = [body[a:b] for a, b in zip([0, *last.tolist()], [*first.tolist(), len(body)], strict=True)]
+                out.append((doc, len(body), int((last - first).sum()), len(first), b"".join(kept)))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
