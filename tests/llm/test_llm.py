@@ -75,6 +75,31 @@ def test_line_dedup_matches_brute_force(spark, k, least):
     assert {x.doc_id: x.text for x in got.collect()} == lines_left(rows, k, least)
 
 
+def test_relative_links_match_brute_force(spark):
+    r = random.Random(21)
+    pool = ["x" + "".join(r.choice("abcé ") for _ in range(n - 2)) + "x" for n in (10, 15, 19, 22, 40, 60, 89, 95, 130, 300, 700)]
+    lines = set(pool)
+    for _ in range(160):
+        x = list(r.choice(pool))
+        for _ in range(r.randint(0, len(x) // 8 + 1)):
+            at = r.randrange(len(x) + 1)
+            x[at : at + r.randint(0, 1)] = r.choice(["", "z", "é"])
+        lines.add("".join(x).strip(" "))
+    lines = sorted(x for x in lines if x)
+    want = {(a, b) for a in lines for b in lines if a < b and (k := max(len(a), len(b)) // 10) and abs(len(a) - len(b)) <= k and edit(a, b) <= k}
+    rows = frame(spark, list(enumerate(lines)))
+    texts = line_dedup.distinct_lines(rows, 1)
+    name = {x.lid: x.line for x in texts.collect()}
+    assert {tuple(sorted((name[x.a], name[x.b]))) for x in line_dedup.edit_links(texts, None).collect()} == want
+    assert sum(edit(a, b) > 2 for a, b in want) > 50
+
+
+def test_line_copy_with_one_word_changed_goes(spark):
+    line = "the quick brown fox jumps over the lazy dog while nobody in the village is watching it run away today"
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, [(1, line), (2, line.replace("quick", "small"))])).collect()}
+    assert got == {1: line, 2: ""}
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 def test_banded_distance(spark, k):
     r = random.Random(k)
