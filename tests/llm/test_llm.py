@@ -100,6 +100,12 @@ def test_line_copy_with_one_word_changed_goes(spark):
     assert got == {1: line, 2: ""}
 
 
+def test_repeats_of_short_lines_go(spark):
+    rows = [(1, "Menu\n\n x \nread more"), (2, "Menu\n\nx\nread on"), (3, "read more\nread more!")]
+    got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: ("Menu\n\n x \nread more", 0), 2: ("\nread on", 2), 3: ("", 2)}
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 def test_banded_distance(spark, k):
     r = random.Random(k)
