@@ -99,9 +99,9 @@ v AS (SELECT id, p.term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents
 x AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM v)"""
 
 
-def _vectors(spark, d, max_features=10_000):
+def _vectors(spark, d, max_features=10_000, terms=T.word_tokens):
     x = table(spark, d, "documents").select("doc_id", "text")
-    return dedup.tfidf(dedup.postings(x, T.word_tokens(F.col("text"))), x.count(), 2, 0.9, max_features)
+    return dedup.tfidf(dedup.postings(x, terms(F.col("text"))), x.count(), 2, 0.9, max_features)
 
 
 @query(f"{_TFIDF} SELECT id, term, round(w, 6) AS w FROM x")
@@ -120,8 +120,8 @@ def near_dup_any_earlier(spark, d):
 
 @query()
 def near_dup_greedy(spark, d):
-    """Documents that an earlier kept one is alike to."""
-    return dedup.greedy_leader(dedup.cosine_pairs(_vectors(spark, d), 0.9))
+    """Documents that an earlier kept one is alike to, by words and pairs of adjacent words."""
+    return dedup.greedy_leader(dedup.cosine_pairs(_vectors(spark, d, terms=T.word_grams), 0.9))
 
 
 _DESC = "WITH qs AS (SELECT p_partkey AS query_id, p_brand || '/' || p_type AS block, p_name || ' ' || p_type AS q FROM part WHERE p_partkey % 50 = 0), bs AS (SELECT p_partkey AS doc_id, p_brand || '/' || p_type AS block, p_type || ' ' || p_name AS b FROM part)"

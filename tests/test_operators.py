@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from lumetra.functions import text
 from lumetra.operators import crawl, dedup, linkage, metrics, split
+from lumetra.plans import linkage_queries
 from lumetra.sources import tables
 from lumetra.streaming import jobs
 
@@ -47,6 +49,18 @@ def test_near_duplicates_match_brute_force(spark):
     assert greedy == removed and greedy <= earlier
 
 
+def test_greedy_query_tells_word_orders_apart(spark, tmp_path):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    other = r.sample(words, len(words))
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words)), (4, " ".join(other))] + [(i, f"other{i % 2} text{i % 3}") for i in range(5, 30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.id for x in linkage_queries.near_dup_greedy(spark, str(tmp_path)).collect()}
+    assert got & {1, 2, 3, 4} == {3, 4}
+    grams = spark.createDataFrame([("A b, c",), ("one",), ("",), (None,)], "t string").select(text.word_grams(F.col("t")).alias("g")).collect()
+    assert [x.g for x in grams] == [["a", "b", "c", "a b", "b c"], ["one"], [], []]
+
+
 def test_keep_first_and_empty_keys(spark):
     df = spark.createDataFrame([(1, ""), (2, ""), (3, "a"), (4, "a"), (5, None)], "id long, link string")
     assert {r.id for r in dedup.keep_first(df, F.col("link"), "id").collect()} == {1, 3, 5}
