@@ -49,6 +49,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert greedy == removed and greedy <= earlier
 
 
+def test_greedy_leader_decides_long_chains(spark):
+    chain = spark.range(1, 300).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    assert {x.id for x in dedup.greedy_leader(chain).collect()} == set(range(2, 301, 2))
+    r = random.Random(11)
+    edges = {(a, b) for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(60)) if a < b} | {(k, k + 1) for k in range(100, 112)}
+    removed = set()
+    for j in range(120):
+        if any(b == j and a not in removed for a, b in edges):
+            removed.add(j)
+    for at_once in (0, 9, 1000):
+        got = dedup.greedy_leader(spark.createDataFrame(sorted(edges), "i long, j long"), at_once=at_once)
+        assert {x.id for x in got.collect()} == removed
+    assert dedup.greedy_leader(spark.createDataFrame([], "i long, j long")).count() == 0
+
+
 def test_greedy_query_tells_word_orders_apart(spark, tmp_path):
     r = random.Random(8)
     words = [f"w{i}" for i in range(40)]
