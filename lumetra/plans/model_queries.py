@@ -21,7 +21,7 @@ def _labelled(spark, d):
 def _fitted(spark, d, kind):
     rows = _labelled(spark, d)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    features = ml.TextFeatures(size=2000 if kind in ("rf", "gbt") else 10_000).fit(train, "text")
+    features = ml.TextFeatures().fit(train, "text")
     test = materialised(features.transform(test).select("doc_id", "label", "features"))
     return features, ml.select_model(kind, materialised(features.transform(train).select("doc_id", "label", "features"))), test
 

@@ -1,12 +1,13 @@
 """Duplicates, splits, metrics, crawl steps and streams on small tables, some against plain Python."""
 
+import inspect
 import math
 import random
 
 from pyspark.sql import functions as F
 
 from lumetra.functions import text
-from lumetra.operators import crawl, dedup, linkage, metrics, split
+from lumetra.operators import crawl, dedup, linkage, metrics, ml, split
 from lumetra.plans import linkage_queries
 from lumetra.sources import tables
 from lumetra.streaming import jobs
@@ -76,6 +77,15 @@ def test_greedy_query_tells_word_orders_apart(spark, tmp_path):
     assert [x.g for x in grams] == [["a", "b", "c", "a b", "b c"], ["one"], [], []]
 
 
+def test_models_run_the_surveyed_grids(spark):
+    points = lambda kind: sorted(tuple(sorted((p.name, v) for p, v in m.items())) for m in ml.estimator(kind, 100)[1])
+    assert points("rf") == sorted((("maxDepth", d), ("numTrees", n)) for d in (20, 30) for n in (100, 200))
+    assert points("gbt") == sorted((("maxDepth", d), ("stepSize", s)) for d in (4, 6, 8) for s in (0.05, 0.1))
+    assert ml.estimator("gbt", 100)[0].getMaxIter() == 100 and ml.TextFeatures().counts.getVocabSize() == 10_000
+    defaults = lambda f, name: inspect.signature(f).parameters[name].default
+    assert (defaults(ml.select_model, "folds"), defaults(ml.kmeans, "restarts")) == (5, 10)
+
+
 def test_keep_first_and_empty_keys(spark):
     df = spark.createDataFrame([(1, ""), (2, ""), (3, "a"), (4, "a"), (5, None)], "id long, link string")
     assert {r.id for r in dedup.keep_first(df, F.col("link"), "id").collect()} == {1, 3, 5}
