@@ -86,7 +86,7 @@ def prefix_size(n: int) -> int:
 
 
 def _signatures(documents: DataFrame, with_prefix: bool = True) -> DataFrame:
-    """doc_id, sig (128 bits of the set), n and the hash-smallest tokens."""
+    """doc_id, th (hash of the text), sig (128 bits of the set), n and the hash-smallest tokens."""
 
     def run(batches):
         import pyarrow as pa
@@ -102,10 +102,10 @@ def _signatures(documents: DataFrame, with_prefix: bool = True) -> DataFrame:
                 prefixes.append(s[: prefix_size(len(s))] if len(s) else s)
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "sig", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "th", "sig", "n", "prefix"])
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
-    return docs.mapInArrow(run, "doc_id long, sig binary, n long, prefix array<long>")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("body"))
+    return docs.mapInArrow(run, "doc_id long, th long, sig binary, n long, prefix array<long>")
 
 
 def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -253,10 +253,10 @@ def _tasks(family: DataFrame, chunk: int) -> DataFrame:
     return small.unionByName(put.select(F.explode(keys).alias("task"), "sid"))
 
 
-def near_duplicates(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document row."""
+def _found(documents: DataFrame, chunk: int) -> DataFrame:
+    """doc_id, th, n, component_id and front (the id, null last, and th that stand first in the component) for every row."""
     rows = materialise(_signatures(documents), "signatures")
-    classes = rows.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    classes = rows.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("front"), F.first("prefix").alias("prefix"))
     sets = materialise(classes.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
     tokens = sets.select("sid", "n", F.explode("prefix").alias("token"))
@@ -278,16 +278,30 @@ def near_duplicates(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     links = _links(tasks.join(full.select("sid", "tokens"), "sid"))
     groups = connected_components(links).toDF("sid", "group")
 
-    named = sets.select("sid", "sig", "rep").join(groups, "sid", "left").withColumn("group", F.coalesce("group", "sid"))
-    least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
-    known = named.join(least, "group").select("sig", "component_id")
+    named = sets.select("sid", "sig", "rep", "front").join(groups, "sid", "left").withColumn("group", F.coalesce("group", "sid"))
+    least = named.groupBy("group").agg(F.min("rep").alias("component_id"), F.min("front").alias("front"))
+    known = named.select("sig", "group").join(least, "group").select("sig", "component_id", "front")
     # the hot classes of copies repeat one sig; few rows a class make the other side small, so skew splits work
-    out = rows.select("doc_id", "sig", "n").join(known, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "th", "sig", "n").join(known, "sig", "left").drop("sig")
+
+
+def near_duplicates(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document row."""
+    return _found(documents, chunk).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_representatives(documents: DataFrame) -> DataFrame:
-    """The rows whose doc_id names their component (empty texts and rows without an id included)."""
-    found = near_duplicates(documents)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return documents.join(materialise(drop, "near-duplicates"), F.col("doc_id") == F.col("__drop"), "left_anti")
+    """One row of each component, that of the smallest id (null ids last, then the hash of the text), and every row without words.
+
+    Of rows that repeat id and text, one stays, the least by all its columns.
+    """
+    own = _found(documents, CHUNK).where("n > 0").groupBy("doc_id", "th").agg(F.count("*").alias("times"), F.first("front").alias("front"))
+    first = F.col("doc_id").eqNullSafe(F.col("front.doc_id")) & (F.col("th") == F.col("front.th"))
+    named = materialise(own.where(~first | (F.col("times") > 1)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), first.alias("__again")), "near-duplicates")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
+    left, again = documents.join(named, on, "left_anti"), named.where("__again")
+    if again.isEmpty():
+        return left
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    one = documents.join(again, on, "left_semi").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th")).agg(F.min(F.struct(*columns)).alias("__row"))
+    return left.unionByName(one.select("__row.*"))

@@ -355,6 +355,21 @@ def test_jaccard_join_matches_brute_force(spark, chunk):
     assert jaccard_join.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    text = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    near = lambda a: text(a) + " end"
+    rows = [(1, text("a")), (5, near("a")), (5, text("clean")), (7, text("b")), (7, text("b")), (7, text("b"))]  # a repeated id with two texts, repeated rows
+    rows += [(None, text("c")), (None, near("c")), (None, text("c")), (None, near("a")), (9, text("d")), (None, near("d"))]  # null ids
+    rows += [(20, ""), (20, ""), (None, None), (3, text("e")), (3, text("f"))]
+    got = jaccard_join.keep_representatives(frame(spark, rows))
+    assert got.columns == frame(spark, rows).columns
+    kept = sorted(((x.doc_id, x.text) for x in got.collect()), key=str)
+    c = [x for x in kept if x[1] in (text("c"), near("c"))]
+    assert len(c) == 1 and c[0][0] is None
+    want = [(1, text("a")), (5, text("clean")), (7, text("b")), (9, text("d")), (20, ""), (20, ""), (None, None), (3, text("e")), (3, text("f"))]
+    assert [x for x in kept if x not in c] == sorted(want, key=str)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1040)]
