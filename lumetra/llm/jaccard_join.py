@@ -140,6 +140,11 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
+def list_blocks(index: np.ndarray, m: int, codes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where in ``index`` (token code * m + position, ascending) the positions low to high - 1 of each code's list stand."""
+    return np.searchsorted(index, codes * m + low), np.searchsorted(index, codes * m + high)
+
+
 def spanning_links(sets: list[np.ndarray], ids: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect the sets as all pairs at the threshold do: (id, smallest id of its component)."""
     m = len(sets)
@@ -152,16 +157,16 @@ def spanning_links(sets: list[np.ndarray], ids: np.ndarray) -> list[tuple[int, i
     _, code = np.unique(tokens, return_inverse=True)
     owner = np.repeat(np.arange(m), sizes)
     by_token = np.argsort(code, kind="stable")  # each list in order of set size
-    lists, starts = owner[by_token], np.searchsorted(code[by_token], np.arange(code.max() + 2))
+    lists = owner[by_token]
+    index = code[by_token].astype(np.int64) * m + lists
     begin = np.concatenate([[0], np.cumsum(sizes)])
     parent = np.arange(m)
-    base, base_codes, base_counts = -1, None, None
+    base, base_codes, base_counts, base_high = -1, None, None, 0
 
-    def counts_of(codes: np.ndarray) -> np.ndarray:
-        """How often each set stands in the lists of ``codes``."""
-        if not len(codes):
-            return np.zeros(m, dtype=np.int64)
-        return np.bincount(np.concatenate([lists[starts[c] : starts[c + 1]] for c in codes]), minlength=m)
+    def counts_of(codes: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How often each set of the block [low, high) stands in the lists of ``codes``."""
+        spans = [lists[a:b] for a, b in zip(*list_blocks(index, m, codes, low, high), strict=True) if a < b]
+        return np.bincount(np.concatenate(spans), minlength=m) if spans else np.zeros(m, dtype=np.int64)
 
     for i in range(m):
         own = np.sort(code[begin[i] : begin[i + 1]])
@@ -177,10 +182,12 @@ def spanning_links(sets: list[np.ndarray], ids: np.ndarray) -> list[tuple[int, i
             if base >= 0:
                 more, less = np.setdiff1d(own, base_codes, assume_unique=True), np.setdiff1d(base_codes, own, assume_unique=True)
             if base >= 0 and len(more) + len(less) < len(own) // 2:
-                counts = base_counts + counts_of(more) - counts_of(less)
+                if high > base_high:  # the earlier answer ends where its own block did
+                    base_counts, base_high = base_counts + counts_of(base_codes, base_high, high), high
+                counts = base_counts + counts_of(more, i, high) - counts_of(less, i, high)
             else:
-                counts = counts_of(own)
-                base, base_codes, base_counts = i, own, counts
+                counts = counts_of(own, i, high)
+                base, base_codes, base_counts, base_high = i, own, counts, high
         near = np.arange(i + 1, high)
         inter = counts[i + 1 : high]
         near = near[100 * inter >= PERCENT * (sizes[i] + sizes[near] - inter)]

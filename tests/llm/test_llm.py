@@ -355,6 +355,34 @@ def test_jaccard_join_matches_brute_force(spark, chunk):
     assert jaccard_join.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_lists_are_read_by_the_block(monkeypatch):
+    r = np.random.default_rng(4)
+    base = [r.choice(3000, n, replace=False) for n in (20, 60, 61, 75, 150, 180)]
+    sets = [np.unique(np.concatenate([r.choice(b, int(len(b) * r.uniform(0.8, 1)), replace=False), r.integers(0, 3000, 3)])) for b in base for _ in range(12)]
+    ids, read = np.arange(len(sets)) * 7 + 1, []
+    plain = jaccard_join.list_blocks
+
+    def watched(index, m, codes, low, high):
+        a, b = plain(index, m, codes, low, high)
+        read.append(int((b - a).sum()))
+        for code, x, y in zip(codes, a, b):
+            assert all(low <= v % m < high and v // m == code for v in index[x:y])
+        return a, b
+
+    monkeypatch.setattr(jaccard_join, "list_blocks", watched)
+    got = dict(jaccard_join.spanning_links(sets, ids))
+    parent = {int(i): int(i) for i in ids}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(int(ids[a])), find(int(ids[b]))
+                parent[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in parent if find(i) != i} and len(got) > 10
+    assert 0 < sum(read) < sum(len(s) for s in sets) * len(sets) / 4
+
+
 def test_one_row_of_each_component_stays(spark):
     text = lambda a: " ".join(f"{a}{k}" for k in range(40))
     near = lambda a: text(a) + " end"
