@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document what near-duplicate line removal leaves of it."""
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", "n_links", F.length("text").cast("long").alias("n_chars_kept"), utf8_sha256(F.col("text")).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.length("text").cast("long").alias("n_chars_kept"), utf8_sha256(F.col("text")).alias("kept_sha256"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,59 @@ def test_relative_links_match_brute_force(spark):
     assert sum(edit(a, b) > 2 for a, b in want) > 50
 
 
+def word_lines(seed=31, n=150):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(1, 3)))
+    common = [word() for _ in range(12)]
+    pool = [[r.choice(common) if r.random() < 0.3 else word() for _ in range(k)] for k in (7, 8, 9, 12, 13, 14, 15, 20, 21, 22, 27, 28, 35, 49, 70, 120, 260)]
+    passage = [word() for _ in range(20)]
+    lines = set()
+    for _ in range(n):
+        x = list(r.choice(pool))
+        for _ in range(r.choice([0, 1, 1, 2, 3, len(x) // 8, len(x) // 7 + 1])):
+            at = r.randrange(len(x) + 1)
+            x[at : at + r.randint(0, 1)] = r.choice([[], [word()], [r.choice(common)]])
+        if r.random() < 0.1:
+            at = r.randrange(len(x) + 1)
+            x[at:at] = passage
+        lines.add(r.choice([" ", ", ", " - "]).join(w.upper() if r.random() < 0.05 else w for w in x))
+    lines |= {"ab " * 40 + x for x in ("q", "r q", "s t u v", "ab")} | {"早上好今天我们去公园散步吧", "早上好今天我们去公園散步吧", "早上坏昨天他们去学校读书吧", "x" * 50 + " y", "x" * 49 + "z y"}
+    return sorted(lines)
+
+
+def test_lines_with_an_earlier_near_copy_match_brute_force(spark):
+    lines = word_lines()
+    words = lambda t: re.findall(r"[一-龥]|[^\x00-\x2F\x3A-\x60\x7B-\x7F一-龥]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    own = [words(x) for x in lines]
+
+    def linked(a, b):
+        m = max(len(own[a]), len(own[b]))
+        if m < line_dedup.FEW_WORDS:
+            k = max(len(lines[a]), len(lines[b])) // 10
+            return k > 0 and abs(len(lines[a]) - len(lines[b])) <= k and edit(lines[a], lines[b]) <= k
+        k = max(m // 7 - 1, 1)
+        return abs(len(own[a]) - len(own[b])) <= k and edit(own[a], own[b]) <= k
+
+    pairs = {(lines[a], lines[b]) for a in range(len(lines)) for b in range(a + 1, len(lines)) if linked(a, b)}
+    texts = line_dedup.distinct_lines(frame(spark, list(enumerate(lines))), 1)
+    name = {x.lid: x.line for x in texts.collect()}
+    by_words = {p for p in pairs if max(len(words(x)) for x in p) >= line_dedup.FEW_WORDS}
+    assert {tuple(sorted((name[x.a], name[x.b]))) for x in line_dedup.word_links(texts).collect()} == by_words
+    assert len(by_words) > 100 and len(pairs) > len(by_words)
+    assert {name[x.lid] for x in line_dedup.near_earlier(texts).collect()} == {b for _, b in pairs}
+
+
+def test_line_dedup_of_hard_rows(spark):
+    long = " ".join(f"word{i}" for i in range(3000))
+    rows = [*HARD, (7, long), (8, long.replace("word5 ", "other ")), (9, "\n".join(["x"] * 4000)), (10, "a\n\n \nb\na"), (10, "a\nc")]
+    df = frame(spark, rows).withColumn("n_lines", F.lit("own")).withColumn("__marks", F.lit(1)).withColumn("__lines", F.lit(1))
+    got = line_dedup.dedup_lines(df).collect()
+    assert len(got) == len(rows) and {(x.doc_id, x.text) for x in got if x.doc_id in (7, 8)} == {(7, long), (8, "")}
+    assert sorted(x.text for x in got if x.doc_id == 3) == ["one", "one"] and [x.n_removed for x in got if x.doc_id == 9] == [3999]
+    assert sorted(x.text for x in got if x.doc_id == 10) == ["a\n\n \nb", "a\nc"] and [x.text for x in got if x.doc_id == 1] == [""]
+    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
 def test_line_copy_with_one_word_changed_goes(spark):
     line = "the quick brown fox jumps over the lazy dog while nobody in the village is watching it run away today"
     got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, [(1, line), (2, line.replace("quick", "small"))])).collect()}
