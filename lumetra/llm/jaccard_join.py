@@ -33,6 +33,8 @@ from .storage import materialise
 WORDS, PERCENT = 5, 80
 #: Sets that one task compares with one another.
 CHUNK = 4096
+#: Texts whose Python objects a task holds at a time.
+AT_ONCE = 512
 #: Documents that may be named in a broadcast when their texts are read again (16 bytes each).
 BROADCAST_ROWS = 500_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -52,7 +54,7 @@ class _Words(dict):
 class Shingler:
     """Distinct shingle hashes of a text, ascending as signed numbers."""
 
-    def __init__(self, words: int = WORDS, memory: int = 400_000):
+    def __init__(self, words: int = WORDS, memory: int = 100_000):
         self.words, self.memory, self.known = words, memory, _Words()
 
     def __call__(self, text: bytes | None) -> np.ndarray:
@@ -76,11 +78,6 @@ def _least_overlap(n: np.ndarray | int):
     return -(-n * PERCENT // 100)
 
 
-def _slack(n: int) -> int:
-    """How many common prefix tokens a set of n tokens can count on, with partners down to 80 per cent of n."""
-    return max(1, _least_overlap(n) // 10)
-
-
 def prefix_size(n: int) -> int:
     return n - _least_overlap(n) + max(1, n // 10)
 
@@ -93,7 +90,7 @@ def _signatures(documents: DataFrame, with_prefix: bool = True) -> DataFrame:
         import xxhash
 
         shingle = Shingler()
-        for batch in batches:
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
             sigs, sizes, prefixes = [], [], []
             for text in batch["body"].to_pylist():
                 s = shingle(text)
@@ -116,7 +113,7 @@ def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         import xxhash
 
         shingle = Shingler()
-        for batch in batches:
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
             out = []
             for sid, sig, text in zip(batch["sid"].to_pylist(), batch["sig"].to_pylist(), batch["body"].to_pylist(), strict=True):
                 s = shingle(text)
@@ -174,20 +171,15 @@ def spanning_links(sets: list[np.ndarray], ids: np.ndarray) -> list[tuple[int, i
         high = int(np.searchsorted(sizes, sizes[i] * 100 // PERCENT, side="right"))
         if high - i < 2:
             continue
-        if m <= 8:
-            counts = np.zeros(m, dtype=np.int64)
-            for j in range(i + 1, high):
-                counts[j] = len(np.intersect1d(own, code[begin[j] : begin[j + 1]], assume_unique=True))
+        if base >= 0:
+            more, less = np.setdiff1d(own, base_codes, assume_unique=True), np.setdiff1d(base_codes, own, assume_unique=True)
+        if base >= 0 and len(more) + len(less) < len(own) // 2:
+            if high > base_high:  # the earlier answer ends where its own block did
+                base_counts, base_high = base_counts + counts_of(base_codes, base_high, high), high
+            counts = base_counts + counts_of(more, i, high) - counts_of(less, i, high)
         else:
-            if base >= 0:
-                more, less = np.setdiff1d(own, base_codes, assume_unique=True), np.setdiff1d(base_codes, own, assume_unique=True)
-            if base >= 0 and len(more) + len(less) < len(own) // 2:
-                if high > base_high:  # the earlier answer ends where its own block did
-                    base_counts, base_high = base_counts + counts_of(base_codes, base_high, high), high
-                counts = base_counts + counts_of(more, i, high) - counts_of(less, i, high)
-            else:
-                counts = counts_of(own, i, high)
-                base, base_codes, base_counts, base_high = i, own, counts, high
+            counts = counts_of(own, i, high)
+            base, base_codes, base_counts, base_high = i, own, counts, high
         near = np.arange(i + 1, high)
         inter = counts[i + 1 : high]
         near = near[100 * inter >= PERCENT * (sizes[i] + sizes[near] - inter)]

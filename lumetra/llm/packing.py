@@ -3,8 +3,8 @@
 Documents are tokenised once; each piece (at most ``capacity`` tokens) becomes a small row. Only the
 histogram of piece lengths, at most ``capacity`` numbers, goes to the driver. There a configuration program
 (which multisets of lengths to use how often, with the fewest sequences) is solved by multiplicative weights
-whose pricing step is a knapsack over token counts; the fractional solution is rounded down and the rest of
-the histogram is packed by best fit over length classes. The plan, a list of runs "the next n pieces of
+whose pricing step is a knapsack by dynamic programming over token counts; the fractional solution is
+rounded and the rest of the histogram is packed by best fit over length classes. The plan, a list of runs "the next n pieces of
 length L go to these sequences at this offset", is as long as the number of configurations allows, whatever
 the number of documents, and pieces find their places by their rank among the pieces of their length.
 
@@ -31,6 +31,12 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 CAPACITY, END = 2048, 0
+#: Parts of the fractional solution that are tried for rounding.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.03)
+#: Classes up to which the program is solved again for what rounding leaves, and how often.
+FEW_CLASSES, AGAIN = 600, 8
+#: Documents that a task tokenises at a time, characters of a word that is remembered, and words remembered.
+AT_ONCE, WORD_CHARS, MEMORY = 256, 40, 60_000
 PIECE_SCHEMA = "doc_id long, row long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -67,7 +73,7 @@ class WordTokenizer:
     composed already, are split here; chunks with other characters or a special token go to it whole.
     """
 
-    def __init__(self, vocabulary: str, memory: int = 300_000):
+    def __init__(self, vocabulary: str, memory: int = MEMORY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -92,16 +98,19 @@ class WordTokenizer:
         words = self._words(text)
         known = self.known
         fresh = [w for w in set(words) if w not in known]
-        if len(known) + len(fresh) > self.memory:
+        if known and len(known) + len(fresh) > self.memory:
             known = self.known = {}
             fresh = list(set(words))
         merge = self.tokenizer.model.tokenize
+        own = {}
         for w in fresh:
             if max(w) < "\u0100" and "<|" not in w:
                 ids = [t.id for t in merge(w.translate(BYTE_SIGNS))]
             else:
                 ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-            known[w] = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
+            (known if len(w) <= WORD_CHARS else own)[w] = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
+        if own:
+            return b"".join(own[w] if w in own else known[w] for w in words)
         return b"".join(map(known.__getitem__, words))
 
 
@@ -111,7 +120,7 @@ def pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int =
 
     def cut(batches):
         tokenizer = WordTokenizer(vocabulary)
-        for batch in batches:
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
             out = []
             for doc, row, text in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = tokenizer.ids(text or "") + END.to_bytes(4, "little")
@@ -131,31 +140,35 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, types, strict=True)], names=[n for n, _ in types])
 
 
-def _knapsack(value: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths, none more often than ``left`` has it, with the largest value in ``capacity``.
+def _priced(price: np.ndarray, capacity: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """The knapsack by dynamic programming: the largest total price, and for each class the best way to fill up around it.
 
-    Dynamic programming over token counts, a class at a time with its multiplicity in binary parts.
+    ``price`` has an entry for each length, -inf where the histogram has none. Returns the value of the best
+    configuration, and by length the value and the contents of the best configuration that holds that length.
     """
-    best = np.zeros(capacity + 1)
-    took = []
-    for v, size, n in zip(value, lengths, left, strict=True):
-        n = int(min(n, capacity // size))
-        part = 1
-        while n > 0:
-            k = min(part, n)
-            n, part = n - k, part * 2
-            w = int(size) * k
-            with_it = np.full(capacity + 1, -1.0)
-            with_it[w:] = best[: capacity + 1 - w] + v * k
-            use = with_it > best + 1e-15
-            best = np.where(use, with_it, best)
-            took.append((int(size), k, w, use))
-    at, chosen = int(best.argmax()), {}
-    for size, k, w, use in reversed(took):
-        if use[at]:
-            chosen[size] = chosen.get(size, 0) + k
-            at -= w
-    return chosen
+    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    for room in range(1, capacity + 1):
+        with_it = best[room - 1 :: -1] + price[1 : room + 1]
+        size = int(with_it.argmax()) + 1
+        if with_it[size - 1] > best[room - 1]:
+            best[room], took[room] = with_it[size - 1], size
+        else:
+            best[room] = best[room - 1]
+    lengths = np.nonzero(np.isfinite(price))[0]
+    contents = np.zeros((len(lengths), capacity + 1), dtype=np.int32)
+    rows = np.arange(len(lengths))
+    contents[rows, lengths] = 1
+    room = capacity - lengths
+    used = np.maximum.accumulate(np.where(took > 0, np.arange(capacity + 1), 0))  # the room at which something was taken
+    while True:
+        room = used[room]
+        open_ = np.nonzero(room > 0)[0]
+        if not len(open_):
+            break
+        size = took[room[open_]]
+        contents[open_, size] += 1
+        room[open_] -= size
+    return float(best[capacity]), price[lengths] + best[capacity - lengths], contents
 
 
 def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -182,12 +195,48 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], i
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 48) -> list[tuple[dict[int, int], int]]:
-    """Configurations with their repetitions that hold exactly the histogram, from the configuration program.
+def fractional(counts: np.ndarray, capacity: int, rounds: int, rate: float = 0.7, near: float = 0.02) -> tuple[dict[bytes, float], float]:
+    """Configurations with their fractional numbers, and a lower bound of the number of sequences.
 
-    Multiplicative weights: every class has a price; a round's configuration is the dearest that fits (the
-    knapsack) and lowers the prices of the classes it serves, in proportion to their need. The mean of the
-    rounds, scaled to cover no class twice, is the fractional solution.
+    The covering program (fewest configurations that hold every class as often as it stands) by multiplicative
+    weights: a round prices the classes, the knapsack gives for each class the best configuration that holds it,
+    and those within ``near`` of the dearest share the round's sequences in proportion to their tokens. A class
+    that the round covers more than once becomes cheaper, one that it covers less dearer. The mean of the rounds
+    is the solution; every round's prices, divided by the dearest configuration, are a dual solution.
+    """
+    lengths = np.nonzero(counts)[0]
+    need, tokens = counts[lengths].astype(float), float((counts * np.arange(capacity + 1)).sum())
+    log_price, bound = np.log(lengths / capacity), 0.0
+    found: dict[bytes, float] = {}
+    for t in range(rounds):
+        price = np.full(capacity + 1, -np.inf)
+        price[lengths] = np.exp(log_price)
+        dearest, value, contents = _priced(price, capacity)
+        bound = max(bound, float((need * price[lengths]).sum()) / dearest)
+        share = np.where(value >= (1 - near) * dearest, need * lengths, 0.0)
+        held = contents[:, lengths]
+        # tokens / capacity sequences a round, where one that is not full counts for what it holds
+        share *= tokens / float((share * (held @ lengths)).sum())
+        covered = share @ held / need
+        for k in np.nonzero(share)[0]:
+            own = contents[k].tobytes()
+            found[own] = found.get(own, 0.0) + share[k] / rounds
+        log_price -= rate / np.sqrt(1 + t) * np.clip(covered - 1, -1, 3)
+    return found, bound
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 60) -> list[tuple[dict[int, int], int]]:
+    """Configurations with their repetitions that hold exactly the histogram, from the configuration program."""
+    return planned(histogram, capacity, rounds)[0]
+
+
+def planned(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 60) -> tuple[list[tuple[dict[int, int], int]], int, float]:
+    """The plan, how many of its sequences the program's configurations give, and the lower bound of all sequences.
+
+    A solution is rounded so that the running total of its configurations is, the most used first, each as often
+    as the classes are left. Of the parts ``SHARES`` of it the one is taken that leads to the fewest sequences once
+    the rest is packed by best fit, of equal ones the largest. Histograms of up to ``FEW_CLASSES`` lengths, which
+    are cheap to price, are solved again for what is left, ``AGAIN`` times at most.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in histogram.items():
@@ -195,40 +244,37 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 48)
     whole = int(counts[capacity])
     counts[capacity] = 0
     done: list[tuple[dict[int, int], int]] = [({capacity: 1}, whole)] if whole else []
-    lengths = np.nonzero(counts)[0]
-    plain = _best_fit(counts, capacity)
-    if len(lengths):
-        need = counts[lengths].astype(float)
-        tokens = float((need * lengths).sum())
-        price = lengths / tokens
-        served = np.zeros(len(lengths))
-        found: dict[tuple, float] = {}
-        bins = tokens / capacity
-        step = max(bins / rounds, 1.0)
-        for _ in range(rounds):
-            left = need - served
-            able = np.nonzero(left >= 1)[0]
-            if not len(able):
-                break
-            own = _knapsack(price[able], lengths[able], left[able], capacity)
-            index = np.searchsorted(lengths, list(own))
-            multiple = np.array(list(own.values()), dtype=float)
-            times = min(step, float((left[index] / multiple).min()))
-            served[index] += times * multiple
-            price = (lengths / tokens) * np.exp(-0.5 * served / need)
-            key = tuple(sorted(own.items()))
-            found[key] = found.get(key, 0.0) + times
-        rest = counts.copy()
-        chosen = []
-        for key, times in sorted(found.items(), key=lambda x: -x[1]):
-            if times >= 1:
-                chosen.append((dict(key), int(times)))
-                for size, k in key:
-                    rest[size] -= k * int(times)
-        chosen += _best_fit(rest, capacity)
-        # the rounded program never loses to plain best fit, which is a feasible solution as well
-        done += min(chosen, plain, key=lambda c: sum(t for _, t in c))
-    return done
+    if not counts.any():
+        return done, 0, float(whole)
+    total = lambda chosen: sum(t for _, t in chosen)
+    rest, chosen, bound, best = counts, [], 0.0, None
+    for again in range(AGAIN if np.count_nonzero(counts) <= FEW_CLASSES else 1):
+        found, below = fractional(rest, capacity, rounds)
+        bound = bound if again else below
+        order = sorted(((x, own) for own, x in found.items()), key=lambda c: (-c[0], c[1]))
+        tried = [(chosen + more, left, _best_fit(left, capacity)) for more, left in (_rounded(rest, order, part) for part in SHARES)]
+        now = min(tried, key=lambda c: (total(c[0]) + total(c[2]), -total(c[0])))
+        if best is None or total(now[0]) + total(now[2]) <= total(best[0]) + total(best[2]):
+            best = now
+        if total(tried[0][0]) == total(chosen) or not tried[0][1].any():
+            break
+        chosen, rest = tried[0][:2]
+    return done + best[0] + best[2], total(best[0]), whole + max(bound, float((counts * np.arange(capacity + 1)).sum()) / capacity)
+
+
+def _rounded(counts: np.ndarray, order: list[tuple[float, bytes]], part: float) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """``part`` of a solution in whole numbers, and the classes that are left."""
+    rest, chosen, sum_, given = counts.copy(), [], 0.0, 0
+    for x, own in order:
+        held = np.frombuffer(own, dtype=np.int32)
+        sizes = np.nonzero(held)[0]
+        sum_ += x * part
+        times = min(int(sum_) - given, int((rest[sizes] // held[sizes]).min()))
+        if times > 0:
+            given += times
+            chosen.append(({int(k): int(held[k]) for k in sizes}, times))
+            rest[sizes] -= held[sizes] * times
+    return chosen, rest
 
 
 def runs(configurations: list[tuple[dict[int, int], int]]) -> pd.DataFrame:

@@ -271,6 +271,30 @@ def test_packing_plan_holds_the_histogram():
     assert used == histogram
 
 
+def test_packing_plan_comes_from_the_program():
+    r = np.random.default_rng(2)
+    lengths = {"middling": r.normal(500, 60, 30000), "halves": r.uniform(560, 760, 20000), "mixed": r.lognormal(5.5, 1, 60000)}
+    plans = {}
+    for name, x in lengths.items():
+        sizes, times = np.unique(np.clip(x.astype(int), 1, 2048), return_counts=True)
+        histogram = dict(zip(sizes.tolist(), times.tolist(), strict=True))
+        configurations, program, bound = packing.planned(histogram)
+        used = {}
+        for own, n in configurations:
+            assert sum(s * k for s, k in own.items()) <= 2048
+            for s, k in own.items():
+                used[s] = used.get(s, 0) + k * n
+        assert used == histogram
+        counts = np.zeros(2049, dtype=np.int64)
+        counts[sizes] = times
+        plans[name] = sum(n for _, n in configurations), program, bound, sum(n for _, n in packing._best_fit(counts, 2048))
+        assert plans[name][2] <= plans[name][0] and program > 0
+    assert plans["middling"][0] <= 1.01 * plans["middling"][2] < 0.97 * plans["middling"][3]  # best fit alone is 5 per cent over
+    assert plans["halves"][0] < plans["halves"][3] and plans["mixed"][0] <= 1.001 * plans["mixed"][2]
+    best, value, contents = packing._priced(np.array([-np.inf, -np.inf, -np.inf, 2.0, 3.0, -np.inf, -np.inf, -np.inf]), 7)
+    assert best == 5.0 and list(value) == [5.0, 5.0] and contents[0].tolist() == [0, 0, 0, 1, 1, 0, 0, 0]
+
+
 # URLs
 
 
