@@ -11,9 +11,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    """``spark.checkpoint.dir``; a temporary folder where the session names none and all tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named and app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lumetra-checkpoint-")
     return (named or _OWN[app]).rstrip("/")
