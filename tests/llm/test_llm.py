@@ -310,12 +310,32 @@ def test_url_rules_and_trees(spark):
 def test_url_column_and_rows_agree_and_generalise(spark):
     held = url_filter.labelled_urls(600, seed=77)
     df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(held)], "page_id long, url string")
-    raw = url_filter._default_model().raw(np.array([url_filter._feature_row(u) for u, _ in held], dtype=float))
+    raw = url_filter._default_model().raw([u for u, _ in held])
     got = {r.page_id: r.block_log_odds for r in url_filter.judge_urls(df, rules=[]).collect()}
     assert all(abs(got[k] - raw[k]) < 1e-6 for k in got)
     assert np.mean([(got[k] > 0) == bool(y) for k, (_, y) in enumerate(held)]) > 0.95
 
 
+def test_url_trees_need_several_features():
+    model, held = url_filter._default_model(), url_filter.labelled_urls(1500, seed=78)
+    x, y = np.array([url_filter._feature_row(u, model.rates) for u, _ in held], dtype=float), np.array([y for _, y in held], dtype=bool)
+    right, r = np.mean((model.trees.raw(x) > 0) == y), np.random.default_rng(3)
+    lost = {}
+    for f, name in enumerate(url_filter.FEATURES):
+        mixed = x.copy()
+        mixed[:, f] = r.permutation(mixed[:, f])
+        lost[name] = right - np.mean((model.trees.raw(mixed) > 0) == y)
+    assert right > 0.95 and sum(v > 0.003 for v in lost.values()) >= 4 and lost["params"] > 0.003, lost
+    assert model.rates["top"] > 0.7 > 0.4 > model.rates["com"] and model.rates[""] == pytest.approx(1 / 3, abs=0.01)
+
+
+def test_urls_of_hard_rows(spark):
+    rows = [(1, None, 5), (1, None, 5), (None, "", 5), (2, "x" * 20000, 5), (3, "http://" + "a." * 5000 + "com/" + "b/" * 5000, 5)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host int"))
+    assert got.count() == 5 and {r.verdict for r in got.collect()} <= {"allow", "block"}
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string, host int")).count() == 0
+
+
 # chats
 
 
