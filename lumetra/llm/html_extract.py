@@ -49,7 +49,8 @@ GROUPS = {
 WORDS = {w: g for g, ws in GROUPS.items() for w in ws.split()}
 GROUP_NAMES = list(GROUPS)
 TAG_CLASSES = {"p": 1, "h1": 2, "h2": 3, "h3": 3, "h4": 3, "h5": 3, "h6": 3, "li": 4, "ul": 5, "ol": 5, "menu": 5, "dl": 5, "blockquote": 6, "pre": 6, "figure": 6, "figcaption": 6, "table": 7, "tbody": 7, "tr": 7, "td": 7, "th": 7, "article": 8, "main": 9, "nav": 10, "aside": 11, "header": 12, "footer": 13, "form": 14, "section": 15, "body": 16, "html": 17}
-TAGS = re.compile(r"<(?:(!--.*?(?:-->|$))|(![^>]*>?|\?[^>]*>?)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+TAGS = re.compile(r"<(?:(!--.*?(?:-->|$))|(![^>]*>?|\?[^>]*>?)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>)", re.S)
+OPEN_END = re.compile(r"<(?:(!--.*$)|(![^>]*|\?[^>]*)|(/?)(?!)()())", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile("[ \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 TOKEN = re.compile("[a-z]+")
@@ -87,16 +88,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     node.first = len(blocks)
                 node.own += len(text)
                 blocks.append((at, text))
-                stops = sum(map(text.count, ".!?,;"))
-                up = at
-                while up >= 0:
-                    n = nodes[up]
-                    n.chars += len(text)
-                    n.links += min(linked, len(text))
-                    n.blocks += 1
-                    n.stops += stops
-                    n.paragraphs += node.tag == "p"
-                    up = n.parent
+                node.chars += len(text)
+                node.links += min(linked, len(text))
+                node.blocks += 1
+                node.stops += sum(map(text.count, ".!?,;"))
+                node.paragraphs += node.tag == "p"
             pieces.clear()
         linked = 0
 
@@ -118,9 +114,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if in_link:
                 linked += len(decoded)
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">") + 1
     while at < end:
-        m = TAGS.search(page, at)
+        # after the last bracket no tag ends, but a comment or declaration may start
+        m = TAGS.search(page, at, last) if at < last else OPEN_END.search(page, at)
         if m is None:
             rest = page[at:]
             cut = re.search(r"<(?:[a-zA-Z/!?])", rest)  # a tag that never ends
@@ -129,6 +126,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         text_of(page[at : m.start()])
         at = m.end()
         if m[4] is None:
+            if m[1] and not m[1].endswith("-->"):
+                break  # a comment that never ends
             continue  # a comment, a doctype or an instruction
         tag = m[4].lower()
         if m[3]:
@@ -200,6 +199,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 in_link = True
         hidden += tag in HIDDEN
     flush()
+    for n in reversed(nodes[1:]):  # a node stands after its parent, so its subtree is summed before it is passed on
+        up = nodes[n.parent]
+        up.chars, up.links, up.blocks, up.stops, up.paragraphs = up.chars + n.chars, up.links + n.links, up.blocks + n.blocks, up.stops + n.stops, up.paragraphs + n.paragraphs
     return nodes, blocks
 
 
@@ -211,6 +213,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     rows = []
     total = max(nodes[0].chars, 1)
     above: list[tuple[int, ...]] = []
+    within: list[tuple[int, int]] = []  # how many ancestors frame the page, and how many hold articles
     subtree = [1] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
         subtree[nodes[i].parent] += subtree[i]
@@ -224,19 +227,14 @@ def features(nodes: list[Node]) -> np.ndarray:
         outer = above[n.parent] if n.parent >= 0 else (0,) * len(GROUPS)
         above.append(tuple(min(a + b, 3) for a, b in zip(own, outer, strict=True)))
         kind = TAG_CLASSES.get(n.tag, 0)
-        outside = 0
-        k = n.parent
-        while k >= 0:
-            c = nodes[k].tag
-            if c in ("nav", "aside", "header", "footer", "form"):
-                outside += 1
-            elif c in ("article", "main"):
-                outside += 10
-            k = nodes[k].parent
+        around, inside = within[n.parent] if n.parent >= 0 else (0, 0)
+        if n.parent >= 0:
+            around, inside = around + (up.tag in ("nav", "aside", "header", "footer", "form")), inside + (up.tag in ("article", "main"))
+        within.append((around, inside))
         chars = max(n.chars, 1)
         rows.append((
             kind, TAG_CLASSES.get(up.tag, 0), min(n.depth, 20), n.place, up.children, n.children, np.log1p(n.chars), n.links / chars, n.blocks, n.paragraphs, n.chars / max(n.blocks, 1), n.stops / chars * 100,
-            n.chars / total, n.chars / max(up.chars, 1), up.links / max(up.chars, 1), np.log1p(n.own), subtree[i] / chars * 100, outside % 10, outside // 10, up.paragraphs, i / len(nodes), len(n.words), *own, *outer,
+            n.chars / total, n.chars / max(up.chars, 1), up.links / max(up.chars, 1), np.log1p(n.own), subtree[i] / chars * 100, around, inside, up.paragraphs, i / len(nodes), len(n.words), *own, *outer,
         ))
     return np.array(rows, dtype=np.float64)
 

@@ -227,6 +227,21 @@ def test_html_reader_and_hard_cases(spark):
     assert [got[i] for i in (2, 3, 5, 6)] == ["", "", "", ""]
 
 
+def test_html_quotes_and_long_broken_pages():
+    import time
+
+    def read(page):
+        return [t for _, t in html_extract.parse(page)[1]]
+
+    assert read("<article><p class=a'b>It is text. It's more.</p><p title='a > b' id=\"x>y\">second</p></article>") == ["It is text. It's more.", "second"]
+    assert read("<p>one</p><!-- open <p>two") == ["one"] and read("<p>a < b</p>") == ["a < b"] and read("<p>x</p><a href='y") == ["x"]
+    for page in ("<p>x</p>" + "<a " * 300_000, "<div>t" * 20_000, "<div>t" * 20_000 + "</div>" * 20_000, "<p>a" * 50_000, "<p>x</p>" + "<!-- " * 50_000):
+        began = time.perf_counter()
+        nodes, _ = html_extract.parse(page)
+        html_extract.features(nodes)
+        assert time.perf_counter() - began < 6, page[:20]
+
+
 # packing
 
 
