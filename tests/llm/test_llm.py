@@ -554,3 +554,21 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in packed} == kept["benchmark decontamination"]
     check_packed(packed, packing.CAPACITY)
+
+
+def test_pipeline_of_hard_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [*HARD, (5, "five words stand here now\nfive words stand here now"), (6, "five words stand here now")]
+    for name, own in (("some", rows), ("none", [])):
+        docs = frame(spark, own).withColumn("score", F.lit(7)).withColumn("n_lines", F.lit("own")).withColumn("n_chars", F.length("text").cast("long"))
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        now = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, f"{tmp_path}/{name}")
+            assert now.columns == docs.columns and now.where("score <> 7 OR n_lines <> 'own'").count() == 0
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        check_packed(packed, packing.CAPACITY)
+        assert {x.doc_id for x in packed} == ({1, None, 2, 3, 4, 5, 6} if own else set())
