@@ -212,7 +212,13 @@ def tournament_winner(spark, d):
     return linkage.tournament(ranked.withColumn("choice", h))
 
 
-@query()
+_WORDS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '\\S+'))"
+
+
+@query(f"""{_DESC}, t AS (SELECT query_id, q, b, row_number() OVER (PARTITION BY query_id ORDER BY round({_SCORES['jaccard']}, 6) DESC, doc_id) AS rank FROM qs JOIN bs USING (block) QUALIFY rank <= 10),
+s AS (SELECT query_id, rank, len(list_intersect({_WORDS('q')}, {_WORDS('b')})) AS shared FROM t), m AS (SELECT query_id, count(*) AS n, max(shared) AS most FROM s GROUP BY 1),
+c AS (SELECT query_id, CAST(CASE WHEN any_value(n) < 2 THEN any_value(n) WHEN any_value(most) = 0 THEN 0 ELSE min(rank) FILTER (shared = most) END AS INTEGER) AS choice FROM s JOIN m USING (query_id) GROUP BY 1)
+SELECT query_id, choice, CASE WHEN choice > 0 THEN 'chosen' WHEN choice = 0 THEN 'abstain' ELSE 'fail' END AS outcome FROM c""")
 def single_call_rerank(spark, d):
     """Top-10 candidates of each description query, chosen by the lexical stand-in."""
     q, b = _descriptions(spark, d)

@@ -1,4 +1,4 @@
-"""Queries that fit models or run streams: no SQL states their results."""
+"""Queries that fit models, which no SQL states, or run streams."""
 
 from __future__ import annotations
 
@@ -61,14 +61,15 @@ def _folder(spark, name):
     return f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
-@query()
+@query("SELECT DISTINCT concat_ws('|', user_id, event_type, CAST(ts AS DATE)) AS key, user_id, event_type FROM events")
 def stream_dedup(spark, d):
     """First event of each user, type and day of the event stream."""
     s = jobs.events_stream(spark, d).withColumn("key", F.concat_ws("|", "user_id", "event_type", F.to_date("ts")))
     return jobs.run_once(jobs.first_of_key(s, "key", "2 days"), _folder(spark, "dedup")).select("key", "user_id", "event_type")
 
 
-@query()
+@query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_tumbling(spark, d):
     """Daily counts and sums by event type, as the stream closes its days."""
     return jobs.run_once(jobs.tumbling(jobs.events_stream(spark, d)), _folder(spark, "tumbling")).select("start", "event_type", "n", F.round("total", 6).alias("total"))
