@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b.cast("double")).otherwise(0.0)
@@ -26,11 +28,23 @@ def confusion(df: DataFrame, label: Column, predicted: Column, by: list[str] | N
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     """Distinct scores with their rows and positives, and the running totals from the highest score down.
 
-    Only distinct scores meet in the ordered window, not rows.
+    Scores are dealt by range; each range sums inside and starts from the totals of those before it, of which the
+    driver sees one row a partition. No task orders all scores.
     """
     steps = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumns({"above": F.sum("n").over(w), "tp": F.sum("pos").over(w)})
+    dealt = checkpointed(steps.repartitionByRange(F.desc(score)).withColumn("__part", F.spark_partition_id()))
+    sums = sorted(dealt.groupBy("__part").agg(F.sum("n"), F.sum("pos")).collect())
+    carried, n, pos = [], 0, 0
+    for part, more, more_pos in sums:
+        carried.append((part, n, pos))
+        n, pos = n + more, pos + (more_pos or 0)
+    w = Window.partitionBy("__part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+
+    def start(i: int) -> Column:
+        pairs = [x for c in carried for x in (F.lit(c[0]), F.lit(c[i]))]
+        return F.element_at(F.create_map(*pairs), F.col("__part")) if pairs else F.lit(0)
+
+    return dealt.withColumns({"above": F.sum("n").over(w) + start(1), "tp": F.coalesce(F.sum("pos").over(w), F.lit(0)) + start(2)}).drop("__part")
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -42,9 +56,9 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """The share of (positive, negative) pairs in order, ties half."""
     s = _by_score(df, label, score)
-    neg, neg_above = F.col("n") - F.col("pos"), F.col("above") - F.col("tp")
+    neg = F.col("n") - F.col("pos")
     wins = F.sum(neg.cast("double") * (F.col("tp") - F.col("pos")) + neg.cast("double") * F.col("pos") / 2)
-    return s.withColumn("__unused", neg_above).agg(F.round(wins / (F.sum("pos").cast("double") * F.sum(neg)), 6).alias("roc_auc"))
+    return s.agg(F.round(wins / (F.sum("pos").cast("double") * F.sum(neg)), 6).alias("roc_auc"))
 
 
 def best_threshold(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -10,10 +10,25 @@ def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def _ranked(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """``rows`` with __r, their rank from 1 in the label's hash order, and __n, the label's number of rows.
+
+    Ranks are counted inside 4,096 ranges of the hash and start from the counts of the ranges before, so no task
+    sorts all rows of a label. A null key has a null hash and comes first; a null label is a label.
+    """
+    hashed = rows.withColumn("__h", hash_order(seed, F.col(key))).withColumn("__b", F.coalesce(F.substring("__h", 1, 3), F.lit("")))
+    w = Window.partitionBy("__label")
+    counts = hashed.groupBy(F.col(label).alias("__label"), F.col("__b").alias("__range")).agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__label", "__range", before.alias("__before"), F.sum("__c").over(w).alias("__n"))
+    dealt = hashed.join(counts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__b") == F.col("__range")))
+    inside = F.row_number().over(Window.partitionBy("__label", "__range").orderBy("__h", key))
+    return dealt.withColumn("__r", inside + F.col("__before")).drop("__h", "__b", "__label", "__range", "__before")
+
+
 def stratified_split(rows: DataFrame, label: str, key: str, parts: list[tuple[str, float]], seed: int = 42) -> DataFrame:
     """``split`` by rank in the label's hash order; the last part takes what rounding leaves."""
-    w = Window.partitionBy(label)
-    ranked = rows.withColumn("__r", F.row_number().over(w.orderBy(hash_order(seed, F.col(key)), key))).withColumn("__n", F.count("*").over(w))
+    ranked = _ranked(rows, label, key, seed)
     out, total = None, 0.0
     for name, share in parts[:-1]:
         total += share
@@ -23,8 +38,8 @@ def stratified_split(rows: DataFrame, label: str, key: str, parts: list[tuple[st
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    w = Window.partitionBy(label).orderBy(hash_order(seed, F.col(key)), key)
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+    """``fold`` from 0 in turn by rank in the label's hash order."""
+    return _ranked(rows, label, key, seed).withColumn("fold", ((F.col("__r") - 1) % folds).cast("int")).drop("__r", "__n")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Duplicates, splits, metrics, crawl steps and streams on small tables, some against plain Python."""
 
+import hashlib
 import inspect
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumetra.functions import text
@@ -152,3 +154,18 @@ def test_stream_dedup(spark, tmp_path):
 def test_trigger_messages(spark):
     m = spark.createDataFrame([('{"url": "https://x", "start_date": "2024-01-02", "parameters": {"portal": "p"}}',), ('{"url": "bucket/prefix"}',)], "value string")
     assert {r.route for r in jobs.route(jobs.parse_triggers(m)).collect()} == {"dated", "folder"}
+
+
+def test_ranks_by_label_and_running_totals_cross_partitions(spark):
+    rows = spark.createDataFrame([(k if k else None, k % 3 if k % 3 else None, k % 7) for k in range(400)], "k long, y long, extra long").repartition(16)
+    got = split.stratified_folds(rows, "y", "k", folds=4, seed=3).collect()
+    assert rows.columns + ["fold"] == list(got[0].asDict()) and len(got) == 400
+    for y in (None, 1, 2):
+        own = sorted((r for r in got if r.y == y), key=lambda r: "" if r.k is None else hashlib.md5(f"3:{r.k}".encode()).hexdigest())
+        assert [r.fold for r in own] == [i % 4 for i in range(len(own))]
+    data = [(i % 2, (i * 37) % 101 / 100) for i in range(500)]
+    scored = spark.createDataFrame(data, "y long, s double").repartition(16)
+    pos, neg = [s for y, s in data if y], [s for y, s in data if not y]
+    wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert metrics.roc_auc(scored, "y", "s").first()[0] == pytest.approx(wins, abs=1e-6)
+    assert metrics.roc_auc(scored.limit(0), "y", "s").first()[0] is None
