@@ -205,11 +205,13 @@ def json_coerce(spark, d):
     return e.select("event_id", F.array_join(T.json_strings(answer, "modalidade"), "|").alias("modalities"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_slice(regexp_extract_all(text, '[^ ]+'), 1, 6) AS a, list_slice(regexp_extract_all(text, '[^ ]+'), 7, 10) AS b FROM documents)
-SELECT doc_id, CAST(i AS INTEGER) AS pos, a[i + 1] AS left_item, b[i + 1] AS right_item FROM (SELECT doc_id, a, b, unnest(range(0, greatest(len(a), len(b)))) AS i FROM w)""")
+@query("""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^ ]+') AS w FROM documents), h AS (SELECT doc_id, w[1:len(w) // 2 + 1] AS a, w[len(w) // 2 + 2:] AS b FROM s)
+SELECT doc_id, CAST(i AS INTEGER) AS pos, a[i + 1] AS left_item, b[i + 1] AS right_item FROM (SELECT doc_id, a, b, unnest(range(0, greatest(len(a), len(b)))) AS i FROM h)""")
 def list_align(spark, d):
-    w = F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))
-    a = _docs(spark, d).select("doc_id", F.slice(w, 1, 6).alias("a"), F.slice(w, 7, 4).alias("b"))
+    """The words of a text's first half, its middle word included, beside those of the rest."""
+    words = _docs(spark, d).select("doc_id", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("w"))
+    half = F.floor(F.size("w") / 2).cast("int") + 1
+    a = words.select("doc_id", F.slice("w", F.lit(1), half).alias("a"), F.slice("w", half + 1, F.size("w")).alias("b"))
     return a.select("doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "x")).select("doc_id", "pos", F.col("x.a").alias("left_item"), F.col("x.b").alias("right_item"))
 
 
