@@ -42,26 +42,26 @@ def linkage_topk(spark, d):
     return _linked(spark, d).select("query_id", "doc_id", "score", "rank")
 
 
-_GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents ON contains(documents.text, substr(b.text, 1, 60)))"
+_GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents ON contains(documents.text, b.text))"
 
 
 def _gold(spark, d):
-    """Documents that hold the first 60 characters of a passage.
+    """Documents that hold a whole passage.
 
-    A document with such a start holds the words inside it that blanks end on both sides; three of them in a row
-    are the key of an equi-join, and what it proposes is checked on the characters. Starts without three such
+    Such a document holds the words inside it that blanks end on both sides; the first three of them
+    are the key of an equi-join, and what it proposes is checked on the characters. Passages without three such
     words are a query set of their own, each looked for in every document.
     """
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("start"))
-    parts, words = F.split("start", " "), F.split("text", " ")
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    parts, words = F.split("passage", " "), F.split("text", " ")
     docs = table(spark, d, "documents").select("doc_id", "text")
     keyed = b.where(F.size(parts) >= 5).select("query_id", F.concat_ws(" ", F.slice(parts, 2, 3)).alias("key"))
     threes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(3))))
     places = docs.select("doc_id", F.explode_outer(F.array_distinct(threes)).alias("key"))
     few = F.broadcast(keyed) if keyed.count() <= 100_000 else keyed
     proposed = places.join(few, "key").select("query_id", "doc_id").distinct().join(b, "query_id").join(docs, "doc_id")
-    bare = b.where(F.size(parts) < 5).join(docs, F.contains("text", "start"))
-    return proposed.where(F.contains("text", "start")).select("query_id", "doc_id").unionByName(bare.select("query_id", "doc_id")).distinct()
+    bare = b.where(F.size(parts) < 5).join(docs, F.contains("text", "passage"))
+    return proposed.where(F.contains("text", "passage")).select("query_id", "doc_id").unionByName(bare.select("query_id", "doc_id")).distinct()
 
 
 @query(f"""{_LINKED}, {_GOLD}, r AS (SELECT g.query_id, min(rank) AS rank FROM gold g LEFT JOIN top ON top.query_id = g.query_id AND top.doc_id = g.doc_id GROUP BY 1)
