@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +108,58 @@ def agreement(df: DataFrame, cluster: str, label: str) -> DataFrame:
     ari = F.when(most != expected, (F.col("p_joint") - expected) / (most - expected)).otherwise(1.0)
     v = F.when(hom + com > 0, 2 * hom * com / (hom + com)).otherwise(0.0)
     return x.select(*[F.round(c, 6).alias(n) for c, n in ((hom, "homogeneity"), (com, "completeness"), (v, "v_measure"), (ari, "adjusted_rand"))])
+
+
+#: Terms of the expected mutual information that a task adds up at a time.
+TERMS = 1_000_000
+
+
+def _expected_terms(a: int, b: int, n: int, first: int, last: int) -> float:
+    """The share of cells of ``first`` to ``last`` rows in the expected mutual information of margins a and b.
+
+    The hypergeometric probability is worked out at ``first`` and carried on by the ratio of neighbours.
+    """
+    lg = math.lgamma
+    k = np.arange(first, last + 1, dtype=float)
+    start = lg(a + 1) + lg(b + 1) + lg(n - a + 1) + lg(n - b + 1) - lg(n + 1) - lg(first + 1) - lg(a - first + 1) - lg(b - first + 1) - lg(n - a - b + first + 1)
+    steps = np.log((a - k[:-1]) * (b - k[:-1])) - np.log((k[:-1] + 1) * (n - a - b + k[:-1] + 1))
+    chance = np.exp(start + np.concatenate([[0.0], np.cumsum(steps)]))
+    return float((k / n * np.log(n * k / (a * b)) * chance).sum())
+
+
+def expected_mutual_information(df: DataFrame, cluster: str, label: str) -> DataFrame:
+    """One row, ``expected``: the mean mutual information of clusters and labels of the same sizes dealt by chance.
+
+    Equal margins give equal terms, so each pair of different sizes is worked out once and counted; a pair's cells are
+    cut into ranges of ``TERMS``. Nothing in the tails is left out.
+    """
+    t = contingency(df, cluster, label)
+    sizes = lambda c, name: t.groupBy(c).agg(F.sum("n").alias(name)).groupBy(name).agg(F.count("*").alias(f"{name}_times"))
+    total = t.agg(F.sum("n").alias("total"))
+    # a row for each pair of different sizes: there are at most sqrt(2 n) of them on either side
+    pairs = sizes(cluster, "a").join(sizes(label, "b"), F.lit(True)).join(F.broadcast(total), F.lit(True))
+    low, high = F.greatest(F.lit(1), F.col("a") + F.col("b") - F.col("total")), F.least("a", "b")
+    ranges = pairs.withColumn("high", high).withColumn("first", F.explode(F.sequence(low, high, F.lit(TERMS))))
+    ranges = ranges.withColumn("last", F.least(F.col("first") + (TERMS - 1), F.col("high"))).select("a", "b", "total", "first", "last", (F.col("a_times") * F.col("b_times")).alias("times"))
+
+    def run(batches):
+        for x in batches:
+            parts = [_expected_terms(*map(int, r)) for r in zip(x["a"], x["b"], x["total"], x["first"], x["last"], strict=True)]
+            yield pd.DataFrame({"part": np.array(parts, float) * x["times"].to_numpy(float)})
+
+    return ranges.mapInPandas(run, "part double").agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("expected"))
+
+
+def adjusted_mutual_information(df: DataFrame, cluster: str, label: str) -> DataFrame:
+    """One row, ``adjusted_mutual``: (MI - expected MI) / (mean entropy - expected MI); 1 where both sides are one group, or no row."""
+    t = contingency(df, cluster, label)
+    total = F.broadcast(t.agg(F.sum("n").cast("double").alias("total")))
+    share = lambda x: F.col(x) / F.col("total")
+    entropy = lambda c, name: t.groupBy(c).agg(F.sum("n").alias("m")).join(total, F.lit(True)).agg(F.coalesce(-F.sum(share("m") * F.log(share("m"))), F.lit(0.0)).alias(name), F.count("*").alias(f"{name}_groups"))
+    joint = t.join(total, F.lit(True)).agg(F.coalesce(-F.sum(share("n") * F.log(share("n"))), F.lit(0.0)).alias("h"))
+    x = entropy(cluster, "hc").join(entropy(label, "hl"), F.lit(True)).join(joint, F.lit(True)).join(expected_mutual_information(df, cluster, label), F.lit(True))
+    mutual, mean = F.col("hc") + F.col("hl") - F.col("h"), (F.col("hc") + F.col("hl")) / 2
+    spread = mean - F.col("expected")
+    bound = F.when(spread < 0, F.least(spread, F.lit(-2.220446049250313e-16))).otherwise(F.greatest(spread, F.lit(2.220446049250313e-16)))
+    alone = (F.col("hc_groups") == F.col("hl_groups")) & (F.col("hc_groups") <= 1)
+    return x.select(F.when(alone, 1.0).otherwise((mutual - F.col("expected")) / bound).alias("adjusted_mutual"))

@@ -10,13 +10,13 @@ def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def _ranked(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    """``rows`` with __r, their rank from 1 in the label's hash order, and __n, the label's number of rows.
+def ranked(rows: DataFrame, label: str, key: str, hashed: Column) -> DataFrame:
+    """``rows`` with __r, their rank from 1 in the label's order of ``hashed`` (hexadecimal digits), and __n, the label's number of rows.
 
     Ranks are counted inside 4,096 ranges of the hash and start from the counts of the ranges before, so no task
     sorts all rows of a label. A null key has a null hash and comes first; a null label is a label.
     """
-    hashed = rows.withColumn("__h", hash_order(seed, F.col(key))).withColumn("__b", F.coalesce(F.substring("__h", 1, 3), F.lit("")))
+    hashed = rows.withColumn("__h", hashed).withColumn("__b", F.coalesce(F.substring("__h", 1, 3), F.lit("")))
     w = Window.partitionBy("__label")
     counts = hashed.groupBy(F.col(label).alias("__label"), F.col("__b").alias("__range")).agg(F.count("*").alias("__c"))
     before = F.coalesce(F.sum("__c").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -28,18 +28,18 @@ def _ranked(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
 
 def stratified_split(rows: DataFrame, label: str, key: str, parts: list[tuple[str, float]], seed: int = 42) -> DataFrame:
     """``split`` by rank in the label's hash order; the last part takes what rounding leaves."""
-    ranked = _ranked(rows, label, key, seed)
+    placed = ranked(rows, label, key, hash_order(seed, F.col(key)))
     out, total = None, 0.0
     for name, share in parts[:-1]:
         total += share
         hit = F.col("__r") <= F.floor(F.col("__n") * F.lit(round(total, 9)))
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return ranked.withColumn("split", out.otherwise(parts[-1][0])).drop("__r", "__n")
+    return placed.withColumn("split", out.otherwise(parts[-1][0])).drop("__r", "__n")
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """``fold`` from 0 in turn by rank in the label's hash order."""
-    return _ranked(rows, label, key, seed).withColumn("fold", ((F.col("__r") - 1) % folds).cast("int")).drop("__r", "__n")
+    return ranked(rows, label, key, hash_order(seed, F.col(key))).withColumn("fold", ((F.col("__r") - 1) % folds).cast("int")).drop("__r", "__n")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

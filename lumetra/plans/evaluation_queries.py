@@ -6,14 +6,17 @@ the dearest line is gold, and answers follow from the order key; the SQL states
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
-from ..operators import crawl
+from ..operators import crawl, split
 from ..operators import evaluation as E
-from ..sources.tables import ordered_by_suffix, table
+from ..sources.shared import shared_dir
+from ..sources.tables import digest, header_of, read_csv, read_json_records, replace_checked, table, url_tail, write_json_records, write_metrics, write_ordered, write_parquet_checked
 from .registry import query
 
 _RUN = """c AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank, l_partkey AS doc_id, l_extendedprice AS score FROM lineitem),
@@ -99,8 +102,10 @@ def candidate_shuffle(spark, d):
 
 @query(f"WITH {_RUN} SELECT query_id, list({{'rank': rank, 'doc_id': doc_id, 'score': score}} ORDER BY rank)[1].doc_id AS first_doc, count(*) AS n, string_agg(doc_id, ',' ORDER BY rank) AS docs FROM c WHERE rank <= 4 GROUP BY 1")
 def nested_cache(spark, d):
-    """A query's first candidates nested in one row, as the cache table keeps them."""
-    n = E.nested_cache(_run(spark, d)[0], 4)
+    """A query's first candidates nested in one row, from a cache that was written and read back."""
+    folder = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    write_parquet_checked(E.nested_cache(_run(spark, d)[0], 4), folder)
+    n = spark.read.parquet(folder)
     c = F.col("candidates")
     return n.select("query_id", F.element_at(c, 1)["doc_id"].alias("first_doc"), F.size(c).cast("long").alias("n"), F.array_join(F.transform(c, lambda x: x["doc_id"].cast("string")), ",").alias("docs"))
 
@@ -164,9 +169,10 @@ def model_ranking(spark, d):
 @query(f"SELECT kind, max(f1) AS best, first(model ORDER BY f1 DESC, model) AS best_model, min(f1) AS worst, first(model ORDER BY f1, model) AS worst_model, round(avg(f1), 6) AS mean FROM {_MODEL} GROUP BY 1")
 def best_worst_mean(spark, d):
     """The best, worst and mean measure of each kind of model."""
-    best = F.array_sort(F.collect_list(F.struct((-F.col("f1")).alias("m"), "model")))
-    worst = F.array_sort(F.collect_list(F.struct(F.col("f1").alias("m"), "model")))
-    return _models(spark, d).groupBy("kind").agg(F.max("f1").alias("best"), F.element_at(best, 1)["model"].alias("best_model"), F.min("f1").alias("worst"), F.element_at(worst, 1)["model"].alias("worst_model"), F.round(F.avg("f1"), 6).alias("mean"))
+    m = _models(spark, d)
+    ends = m.groupBy("kind").agg(F.max("f1").alias("best"), F.min("f1").alias("worst"), F.round(F.avg("f1"), 6).alias("mean"))
+    at = lambda end, name: m.join(F.broadcast(ends.select("kind", F.col(end).alias("f1"))), ["kind", "f1"]).groupBy("kind").agg(F.min("model").alias(name))
+    return ends.join(at("best", "best_model"), "kind").join(at("worst", "worst_model"), "kind").select("kind", "best", "best_model", "worst", "worst_model", "mean")
 
 
 @query("SELECT DISTINCT doc_id FROM (SELECT doc_id FROM documents WHERE n_chars < 200 UNION ALL SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -178,8 +184,8 @@ def removal_union(spark, d):
 @query("SELECT doc_id, toxic, (row_number() OVER (PARTITION BY toxic ORDER BY md5('5|' || doc_id), doc_id) - 1) % 5 AS subset FROM labels")
 def disjoint_subsets(spark, d):
     """Five disjoint subsets with equal shares of each label."""
-    w = Window.partitionBy("toxic").orderBy(E.seeded_order(5, F.col("doc_id")), "doc_id")
-    return table(spark, d, "labels").select("doc_id", "toxic", ((F.row_number().over(w) - 1) % 5).alias("subset"))
+    placed = split.ranked(table(spark, d, "labels").select("doc_id", "toxic"), "toxic", "doc_id", E.seeded_order(5, F.col("doc_id")))
+    return placed.select("doc_id", "toxic", ((F.col("__r") - 1) % 5).alias("subset"))
 
 
 @query("SELECT round(avg(CASE WHEN lower(a) = lower(b) THEN 1.0::DOUBLE ELSE 0 END), 6) AS same, avg(CASE WHEN lower(a) = lower(b) THEN 1.0::DOUBLE ELSE 0 END) > 0.3 AS warned FROM (SELECT o_orderpriority AS a, CASE WHEN o_orderkey % 4 = 0 THEN lower(o_orderpriority) ELSE o_orderstatus END AS b FROM orders)")
@@ -330,10 +336,13 @@ def modality_norm(spark, d):
     return table(spark, d, "orders").select("o_orderkey", E.modality(T.fold_accents(F.lower(F.expr(_MODAL)))).alias("modality"))
 
 
-@query("SELECT id, name FROM (VALUES (0, 'Pregão Eletrônico'), (1, 'Pregão Presencial'), (2, 'Concorrência'), (3, 'Tomada de Preços'), (4, 'Convite'), (5, 'Leilão'), (6, 'Concurso'), (7, 'Dispensa de Licitação'), (8, 'Inexigibilidade'), (9, 'Chamamento Público'), (10, 'Credenciamento'), (11, 'Regime Diferenciado')) AS v(id, name)")
+@query(f"""SELECT v.id, v.name, count(m.name) AS orders FROM (VALUES (0, 'Pregão Eletrônico'), (1, 'Pregão Presencial'), (2, 'Concorrência'), (3, 'Tomada de Preços'), (4, 'Convite'), (5, 'Leilão'), (6, 'Concurso'), (7, 'Dispensa de Licitação'), (8, 'Inexigibilidade'), (9, 'Chamamento Público'), (10, 'Credenciamento'), (11, 'Regime Diferenciado')) AS v(id, name) LEFT JOIN (SELECT CASE WHEN m LIKE '%pregao eletronico%' THEN 'Pregão Eletrônico' WHEN m LIKE '%pregao presencial%' THEN 'Pregão Presencial' WHEN m LIKE '%concorrencia%' THEN 'Concorrência' WHEN m LIKE '%tomada de preco%' THEN 'Tomada de Preços'
+WHEN m LIKE '%dispensa%' THEN 'Dispensa de Licitação' WHEN m LIKE '%inexigibilidade%' THEN 'Inexigibilidade' WHEN m LIKE '%rdc%' THEN 'Regime Diferenciado' END AS name FROM (SELECT strip_accents(lower({_MODAL})) AS m FROM orders)) m ON m.name = v.name GROUP BY ALL""")
 def modality_table(spark, d):
-    """The constant relation of modalities with their ids."""
-    return spark.createDataFrame(list(enumerate(E.MODALITIES)), "id int, name string")
+    """The constant relation of modalities, with the orders whose text names each."""
+    names = spark.createDataFrame(list(enumerate(E.MODALITIES)), "id int, name string")
+    named = table(spark, d, "orders").select(E.modality(T.fold_accents(F.lower(F.expr(_MODAL)))).alias("name")).groupBy("name").agg(F.count("*").alias("orders"))
+    return names.join(named, "name", "left").select("id", "name", F.coalesce("orders", F.lit(0).cast("long")).alias("orders"))
 
 
 @query("SELECT c_custkey, len(list_distinct(s)) AS n, array_to_string(list_sort(list_distinct(s)), ',') AS members, array_to_string(list_filter([c_mktsegment, '[ ]', '[]'], lambda x: regexp_replace(x, '[\\[\\] ]', '', 'g') <> ''), ',') AS kept FROM (SELECT c_custkey, c_mktsegment, list_filter(list_transform(string_split(c_mktsegment || ', a,, A ,' || c_custkey, ','), lambda x: lower(trim(x))), lambda x: x <> '') AS s FROM customer)")
@@ -397,10 +406,7 @@ def label_consistency(spark, d):
 @query("SELECT toxic, count(*) AS n, min(doc_id) AS least FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5('3|' || doc_id), doc_id) AS n, count(*) OVER (PARTITION BY toxic) AS total FROM labels) WHERE n <= total // 2 GROUP BY 1")
 def half_of_train(spark, d):
     """The half of each label on which the memorisation check fits."""
-    a = table(spark, d, "labels")
-    w = Window.partitionBy("toxic").orderBy(E.seeded_order(3, F.col("doc_id")), "doc_id")
-    total = a.groupBy("toxic").agg(F.count("*").alias("total"))
-    half = a.withColumn("n", F.row_number().over(w)).join(F.broadcast(total), "toxic").where("n <= total div 2")
+    half = split.ranked(table(spark, d, "labels").select("doc_id", "toxic"), "toxic", "doc_id", E.seeded_order(3, F.col("doc_id"))).where("__r <= __n div 2")
     return half.groupBy("toxic").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
 
 
@@ -435,15 +441,45 @@ def single_field(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("objeto"))
 
 
-@query("SELECT printf('%.4f', avg(toxic)) AS toxic, printf('%.4f', avg(quality)) AS quality, string_agg(DISTINCT 'label_' || toxic, ',' ORDER BY 'label_' || toxic) AS classes FROM labels")
+@query("SELECT source, printf('%.4f', avg(n_chars)) AS mean, printf('%.4f', max(n_chars)::DOUBLE) AS most, CAST(count(*) AS VARCHAR) AS rows FROM documents GROUP BY 1")
 def metric_csv(spark, d):
-    """Metrics in their fixed format of four places."""
-    four = lambda c: F.format_string("%.4f", F.avg(c))
-    return table(spark, d, "labels").agg(four("toxic").alias("toxic"), four("quality").alias("quality"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("label_"), F.col("toxic").cast("string")))), ",").alias("classes"))
+    """Metrics in their fixed format of four places, as the CSV on disk has them."""
+    m = table(spark, d, "documents").groupBy("source").agg(F.avg("n_chars").alias("mean"), F.max("n_chars").cast("double").alias("most"), F.count("*").alias("rows"))
+    return write_metrics(m, f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}")
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (p_size IS NOT NULL) AS sized FROM part")
+@query("""SELECT p_partkey, concat_ws('|', coalesce(p_name, ''), coalesce(p_brand, ''), coalesce(p_type, ''), coalesce(CAST(p_size AS VARCHAR), '')) AS row, header FROM part,
+(SELECT string_agg(column_name, ',' ORDER BY CASE WHEN column_name LIKE '%_type' THEN 2 WHEN column_name LIKE '%_size' THEN 1 ELSE 0 END, i) AS header FROM (SELECT column_name, row_number() OVER () AS i FROM (DESCRIBE part)))""")
 def ordered_export(spark, d):
-    """An export whose columns are ordered by suffix; the count of what it wrote."""
+    """An export whose columns are ordered by suffix: its rows as they read back, and the header on disk."""
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     p = table(spark, d, "part")
-    return p.select(*[F.col(c) for c in ordered_by_suffix(p.columns, ["_size", "_type"])]).agg(F.count("*").alias("rows"), F.count("p_size").alias("sized"))
+    write_ordered(p, path, ["_size", "_type"])
+    header = header_of(spark, path)
+    kinds = dict(p.dtypes)
+    back = read_csv(spark, path, ", ".join(f"`{c}` {kinds[c]}" for c in header))
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("p_name", "p_brand", "p_type", "p_size")])
+    return back.select("p_partkey", row.alias("row"), F.lit(",".join(header)).alias("header"))
+
+
+@query(r"""SELECT page_id, url, regexp_extract(regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', ''), '^.*?://[^/]*/.*?([^/]+)$', 1) AS tail, true AS own_file, count(*) OVER () AS files FROM pages""")
+def json_records(spark, d):
+    """Pages as single JSON files by the tail of their URL: each in its own file, and together in one table."""
+    folder = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    rows = table(spark, d, "pages").select("page_id", "url", url_tail(F.col("url")).alias("tail"))
+    write_json_records(rows, folder, "tail", "page_id")
+    back = read_json_records(spark, folder, "page_id long, url string, tail string")
+    each = back.groupBy("file").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id")).select("page_id", (F.col("n") == 1).alias("own_file"))
+    every = spark.read.schema(back.drop("file").schema).json(f"{folder}/all")
+    return every.join(each, "page_id").join(F.broadcast(each.agg(F.count("*").alias("files"))), F.lit(True))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, 2 AS writes, 1 AS backups, true AS before_kept FROM supplier")
+def replaced_table(spark, d):
+    """A table that was replaced: the new rows as read back, and that the backup holds the old ones."""
+    path = f"{shared_dir(spark)}/replaced-{uuid.uuid4().hex}/supplier"
+    new = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    old = new.where("s_suppkey % 2 = 0")
+    backups = [b for b in (replace_checked(old, path), replace_checked(new, path)) if b]
+    kept = digest(spark.read.schema(old.schema).parquet(backups[0])) == digest(old)
+    return spark.read.schema(new.schema).parquet(path).select("*", F.lit(2).alias("writes"), F.lit(len(backups)).alias("backups"), F.lit(kept).alias("before_kept"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import python_udfs as U
 from ..functions import text as T
 from ..operators import dedup, linkage, metrics
+from ..sources.shared import materialised
 from ..sources.tables import table
 from .registry import query
 
@@ -45,23 +46,39 @@ def linkage_topk(spark, d):
 _GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents ON contains(documents.text, b.text))"
 
 
+def _runs(words, sizes):
+    """All runs of ``sizes`` words of an expression, which is worked out once a row."""
+    of = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(words), lambda w: F.array_distinct(F.flatten(F.array(*[of(w, n) for n in sizes])))), 1)
+
+
 def _gold(spark, d):
     """Documents that hold a whole passage.
 
-    Such a document holds the words inside it that blanks end on both sides; the first three of them
-    are the key of an equi-join, and what it proposes is checked on the characters. Passages without three such
-    words are a query set of their own, each looked for in every document.
+    Such a document holds the words inside it that blanks end on both sides, and so all their runs of three (of fewer,
+    where there are fewer). The rarest run of each passage is the key of an equi-join, and what it proposes is checked
+    on the characters. A passage of one or two words has no word that blanks must end: these are a query set of their
+    own, each looked for in every document.
     """
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    parts, words = F.split("passage", " "), F.split("text", " ")
     docs = table(spark, d, "documents").select("doc_id", "text")
-    keyed = b.where(F.size(parts) >= 5).select("query_id", F.concat_ws(" ", F.slice(parts, 2, 3)).alias("key"))
-    threes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(3))))
-    places = docs.select("doc_id", F.explode_outer(F.array_distinct(threes)).alias("key"))
-    few = F.broadcast(keyed) if keyed.count() <= 100_000 else keyed
-    proposed = places.join(few, "key").select("query_id", "doc_id").distinct().join(b, "query_id").join(docs, "doc_id")
-    bare = b.where(F.size(parts) < 5).join(docs, F.contains("text", "passage"))
-    return proposed.where(F.contains("text", "passage")).select("query_id", "doc_id").unionByName(bare.select("query_id", "doc_id")).distinct()
+    words = b.withColumn("w", F.split("passage", " "))
+    inner = words.where(F.size("w") >= 3).select("query_id", F.slice("w", F.lit(2), F.size("w") - 2).alias("w"))
+    keyed = inner.select("query_id", F.explode(F.when(F.size("w") >= 3, _runs(F.col("w"), [3])).otherwise(F.array(F.concat_ws(" ", "w")))).alias("key"))
+    sizes = [r.n for r in inner.select(F.least(F.size("w"), F.lit(3)).alias("n")).distinct().collect()]  # of 1, 2 and 3
+    proven = None
+    if sizes:
+        keys = keyed.select("key").distinct()
+        few = F.broadcast if keyed.count() <= 500_000 else (lambda x: x)
+        places = materialised(docs.select("doc_id", F.explode(_runs(F.split("text", " "), sizes)).alias("key")).join(few(keys), "key", "left_semi"))
+        rarity = places.groupBy("key").agg(F.count("*").alias("n"))
+        rarest = keyed.join(rarity, "key").groupBy("query_id").agg(F.min(F.struct("n", "key")).alias("r"), F.count("*").alias("met"))
+        # a run that no document has rules its passage out
+        rarest = rarest.join(keyed.groupBy("query_id").agg(F.countDistinct("key").alias("due")), "query_id").where("met >= due").select("query_id", F.col("r.key").alias("key"))
+        proposed = places.join(few(rarest), "key").select("query_id", "doc_id").distinct()
+        proven = proposed.join(b, "query_id").join(docs, "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
+    bare = words.where(F.size("w") < 3).join(docs, F.contains("text", "passage")).select("query_id", "doc_id")
+    return (bare if proven is None else proven.unionByName(bare)).distinct()
 
 
 @query(f"""{_LINKED}, {_GOLD}, r AS (SELECT g.query_id, min(rank) AS rank FROM gold g LEFT JOIN top ON top.query_id = g.query_id AND top.doc_id = g.doc_id GROUP BY 1)
@@ -111,12 +128,14 @@ x AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM v)"
 
 def _vectors(spark, d, max_features=10_000, terms=T.word_tokens):
     x = table(spark, d, "documents").select("doc_id", "text")
-    return dedup.tfidf(dedup.postings(x, terms(F.col("text"))), x.count(), 2, 0.9, max_features)
+    return dedup.features(x, terms(F.col("text")), x.count(), max_features)
 
 
 @query(f"{_TFIDF} SELECT id, term, round(w, 6) AS w FROM x")
 def tfidf_vectors(spark, d):
-    return _vectors(spark, d).select("id", "term", F.round("w", 6).alias("w"))
+    vectors, vocabulary = _vectors(spark, d)
+    named = vectors.join(F.broadcast(vocabulary.select(F.col("index").alias("term"), "word")), "term")
+    return named.select("id", F.col("word").alias("term"), F.round("w", 6).alias("w"))
 
 
 _PAIRS = f"{_TFIDF}, pr AS (SELECT a.id AS i, b.id AS j FROM x a JOIN x b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 9) >= 0.9)"
@@ -125,13 +144,14 @@ _PAIRS = f"{_TFIDF}, pr AS (SELECT a.id AS i, b.id AS j FROM x a JOIN x b ON a.t
 @query(f"{_PAIRS} SELECT DISTINCT j AS id FROM pr")
 def near_dup_any_earlier(spark, d):
     """Documents that an earlier one is alike to (cosine 0.9)."""
-    return dedup.any_earlier(dedup.cosine_pairs(_vectors(spark, d), 0.9))
+    return dedup.any_earlier(*dedup.leading_pairs(_vectors(spark, d)[0], 0.9))
 
 
 @query()
 def near_dup_greedy(spark, d):
     """Documents that an earlier kept one is alike to, by words and pairs of adjacent words."""
-    return dedup.greedy_leader(dedup.cosine_pairs(_vectors(spark, d, terms=T.word_grams), 0.9))
+    pairs, members = dedup.leading_pairs(_vectors(spark, d, terms=T.word_grams)[0], 0.9)
+    return dedup.greedy_leader(pairs).unionByName(dedup.later_copies(members))
 
 
 _DESC = "WITH qs AS (SELECT p_partkey AS query_id, p_brand || '/' || p_type AS block, p_name || ' ' || p_type AS q FROM part WHERE p_partkey % 50 = 0), bs AS (SELECT p_partkey AS doc_id, p_brand || '/' || p_type AS block, p_type || ' ' || p_name AS b FROM part)"

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,4 +34,16 @@ def materialised(df: DataFrame) -> DataFrame:
     """A Parquet table in the shared folder: for large results that are read more than once by column."""
     path = f"{shared_dir(df.sparkSession)}/lumetra-tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the tables that ``materialised`` wrote in this process; call it once results are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    for name in _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    _WRITTEN.clear()
+    return done

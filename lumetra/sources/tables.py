@@ -56,6 +56,52 @@ def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+def write_json_records(df: DataFrame, folder: str, by: str, key: str) -> None:
+    """One JSON file a row, in a folder for each ``by`` and ``key``, and all rows once more in ``<folder>/all``.
+
+    A file a row is what the consumers of single records read; everything else should read ``all``.
+    """
+    named = df.withColumn("__by", F.col(by)).withColumn("__key", F.regexp_replace(F.col(key).cast("string"), "[^A-Za-z0-9._-]+", "_"))
+    named.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("__by", "__key").json(f"{folder}/records")
+    df.write.mode("overwrite").json(f"{folder}/all")
+
+
+def url_tail(url: Column) -> Column:
+    """The last part of a URL's path, without query, fragment and closing slash; '' where there is none."""
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*", 0)
+    return F.regexp_extract(F.regexp_replace(path, "/+$", ""), r"^.*?://[^/]*/.*?([^/]+)$", 1)
+
+
+def read_json_records(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The single records of ``write_json_records`` with the file that each came from."""
+    return spark.read.schema(f"{schema}, __by string, __key string").json(f"{folder}/records").withColumn("file", F.input_file_name()).drop("__by", "__key")
+
+
+def write_metrics(df: DataFrame, path: str) -> DataFrame:
+    """Metrics as CSV with four decimal places and a header, and as JSON beside it; the CSV as it reads back, all strings."""
+    four = [F.format_string("%.4f", F.col(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes]
+    write_csv(df.select(*four), f"{path}/csv")
+    write_json(df, f"{path}/json")
+    return read_csv(df.sparkSession, f"{path}/csv", ", ".join(f"`{c}` string" for c in df.columns))
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The columns that a CSV folder's first line names."""
+    return spark.read.option("header", True).option("escape", '"').csv(path).columns
+
+
+def write_ordered(df: DataFrame, path: str, suffixes: list[str]) -> None:
+    """A CSV whose columns stand without a suffix first, then by suffix."""
+    write_csv(df.select(*[F.col(f"`{c}`") for c in ordered_by_suffix(df.columns, suffixes)]), path)
+
+
+def digest(df: DataFrame) -> tuple[int, int]:
+    """(rows, sum of the rows' hashes), whatever their order; floats and nested columns count as their JSON."""
+    h = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    return int(row.n), int(row.h)
+
+
 def write_parquet_checked(df: DataFrame, path: str) -> int:
     """Write under a new path, read back, and return the row count; a difference is an error."""
     df.write.mode("errorifexists").parquet(path)
@@ -66,6 +112,33 @@ def write_parquet_checked(df: DataFrame, path: str) -> int:
     return written
 
 
+def replace_checked(df: DataFrame, path: str) -> str | None:
+    """Replace the table at ``path`` and keep the one before; the backup's path, or None if there was none.
+
+    The new rows are written beside it and read back first; only if their number and content agree is the old folder
+    renamed to ``<path>.backup-<n>`` and the new one put in its place. A failure leaves the old table where it was.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    of = jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(conf)
+    staged = f"{path}.new"
+    df.write.mode("overwrite").parquet(staged)
+    if digest(spark.read.schema(df.schema).parquet(staged)) != digest(df):
+        raise OSError(f"{staged} does not hold what was written")
+    backup = None
+    if fs.exists(of(path)):
+        number = 1
+        while fs.exists(of(f"{path}.backup-{number}")):
+            number += 1
+        backup = f"{path}.backup-{number}"
+        if not fs.rename(of(path), of(backup)):
+            raise OSError(f"{path} can't be renamed to {backup}")
+    if not fs.rename(of(staged), of(path)):
+        raise OSError(f"{staged} can't be renamed to {path}")
+    return backup
+
+
 def ordered_by_suffix(columns: list[str], suffixes: list[str]) -> list[str]:
     """Columns without any of the suffixes first, then by suffix in the given order."""
     rank = lambda c: next((i + 1 for i, s in enumerate(suffixes) if c.endswith(s)), 0)
