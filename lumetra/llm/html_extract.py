@@ -6,11 +6,12 @@ siblings), and the trees give the log-odds that its subtree holds article text.
 all nodes at once: a node can only be kept under a kept parent, and a kept node brings its own log-odds and
 those of the children that are worth keeping. So an ancestor and a descendant never contradict each other.
 
-The trees are fitted on the driver on a bounded list of generated pages with known article text
-(``TRAINING_PAGES``), of many layouts.
+The trees are fitted on the driver on a bounded list of generated pages with known article text: ``TRAINING_PAGES``
+of mixed layouts and ``TEMPLATE_PAGES`` of the site families of ``page_templates``, among them pages without any frame.
 
 Defined results: null or empty html has an empty text; broken markup is read as far as it makes sense (an
-unclosed comment, script or tag ends with the page); repeated rows repeat their result.
+unclosed comment, script or tag ends with the page, an end tag without a start is no tag); repeated rows repeat their
+result; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,17 +25,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import boosting
+from . import boosting, page_templates
 
-TRAINING_PAGES = 700
+TRAINING_PAGES, TEMPLATE_PAGES = 700, 600
 
 # Fixed values of HTML: elements without content, with raw content, shown as blocks, and never shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg noscript".split())
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-HIDDEN = frozenset("head script style textarea title xmp iframe noembed noframes template svg noscript select option optgroup button object canvas audio video map math".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+HIDDEN = frozenset("head script style textarea title xmp iframe noembed noframes template svg noscript select option optgroup audio video".split())
 HEADS = frozenset("base link meta title style script noscript template".split())
-CLOSES_P = BLOCK - frozenset("button caption body html legend option optgroup summary tbody td tfoot th thead tr li dd dt".split())
+CELLS, TABLE_PARTS = frozenset("td th table".split()), frozenset("td th tr table tbody thead tfoot".split())
+#: What a start tag closes if it is open, and the element beyond which it doesn't look.
+IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
+CLOSES_P = BLOCK - frozenset("caption body html legend option optgroup summary tbody td tfoot th thead tr li dd dt".split())
 #: Words in class, id and role that speak for or against article text.
 GROUPS = {
     "menu": "nav menu menubar navbar navigation breadcrumb breadcrumbs tabs toolbar topbar pagination pager toc skip sitemap categories",
@@ -67,21 +71,62 @@ class Node:
         self.first = -1
 
 
+class _Open:
+    """The open elements as a stack that knows where each kind stands, so that no tag makes the reader walk down."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []  # (tag, its block element)
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.cells: list[int] = []
+
+    def push(self, tag: str, node: int) -> None:
+        k = len(self.stack)
+        self.stack.append((tag, node))
+        self.at.setdefault(tag, []).append(k)
+        if tag in BLOCK:
+            self.blocks.append(k)
+        if tag in CELLS:
+            self.cells.append(k)
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        k = len(self.stack)
+        for places in (self.at.get(tag), self.blocks, self.cells):
+            if places and places[-1] == k:
+                places.pop()
+        return tag
+
+    def forget(self, k: int) -> None:
+        """The innermost element of its kind, an inline one at place ``k``, ends without what is open inside it."""
+        tag, node = self.stack[k]
+        self.at[tag].pop()
+        self.stack[k] = ("", node)
+
+    def last(self, *tags: str) -> int:
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=-1)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block elements in page order, and the blocks of text as (element, text)."""
+    """Block elements in page order, and the blocks of text as (element, text).
+
+    Text of buttons stays where it is part of a sentence; a block that only buttons make is a control and is left out.
+    """
     nodes = [Node("html", -1, 0, [], 0, False)]
-    stack: list[tuple[str, int]] = [("html", 0)]  # (tag, its block element)
+    opened = _Open()
+    opened.push("html", 0)
+    stack = opened.stack
     blocks: list[tuple[int, str]] = []
     pieces: list[str] = []
-    linked = 0  # characters of the piece inside links
-    in_link = False
+    linked = pressed = 0  # characters of the piece inside links, and those that aren't blank inside and outside buttons
+    plain = 0
     hidden = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, pressed, plain
         if pieces:
             text = SPACE.sub(" ", "".join(pieces)).strip(" ")
-            if text:
+            if text and not (pressed and not plain):
                 at = stack[-1][1]
                 node = nodes[at]
                 if node.first < 0:
@@ -94,25 +139,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.stops += sum(map(text.count, ".!?,;"))
                 node.paragraphs += node.tag == "p"
             pieces.clear()
-        linked = 0
+        linked = pressed = plain = 0
 
     def close(k: int) -> None:
-        nonlocal hidden, in_link
+        nonlocal hidden
         flush()
         while len(stack) > k:
-            tag, _ = stack.pop()
-            if tag in HIDDEN:
-                hidden -= 1
-            if tag == "a":
-                in_link = False
+            hidden -= opened.pop() in HIDDEN
 
     def text_of(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, pressed, plain
         if raw and not hidden:
             decoded = entities.unescape(raw) if "&" in raw else raw
             pieces.append(decoded)
-            if in_link:
+            if opened.at.get("a"):
                 linked += len(decoded)
+            if opened.at.get("button"):
+                pressed += not decoded.isspace()
+            else:
+                plain += not decoded.isspace()
 
     at, end, last = 0, len(page), page.rfind(">") + 1
     while at < end:
@@ -131,28 +176,20 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue  # a comment, a doctype or an instruction
         tag = m[4].lower()
         if m[3]:
+            k = opened.last(tag)
             if tag == "br":
                 pieces.append(" ")
-            elif tag == "p" and all(t != "p" for t, _ in stack):
-                flush()
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if tag in BLOCK or tag in HIDDEN or any(t in BLOCK for t, _ in stack[k + 1 :]):
-                            if tag not in BLOCK and tag not in HIDDEN:
-                                if tag == "a":
-                                    in_link = False
-                                stack[k] = ("", stack[k][1])  # an inline element closed across blocks
-                                break
-                            close(k)
-                        else:
-                            while len(stack) > k:
-                                t, _ = stack.pop()
-                                if t == "a":
-                                    in_link = False
-                        break
-                    if stack[k][0] in ("td", "th", "table") and tag not in ("td", "th", "tr", "table", "tbody", "thead", "tfoot"):
-                        break
+            elif k < 1:
+                if tag == "p":
+                    flush()
+            elif tag in TABLE_PARTS or not opened.cells or opened.cells[-1] <= k:
+                if tag in BLOCK or tag in HIDDEN:
+                    close(k)
+                elif opened.blocks and opened.blocks[-1] > k:
+                    opened.forget(k)  # an inline element closed across blocks
+                else:
+                    while len(stack) > k:
+                        opened.pop()
             continue
         if tag in RAW and not m[5].rstrip().endswith("/"):
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -170,21 +207,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if stack[-1][0] == "head" and tag not in HEADS:
             close(len(stack) - 1)
         if tag in BLOCK:
-            implied = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}.get(tag)
-            if tag in CLOSES_P or implied:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-            if implied:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in implied[0].split():
-                        close(k)
-                        if tag != "tr":
-                            break
-                    elif stack[k][0] in implied[1]:
+            if (tag in CLOSES_P or tag in IMPLIED) and (k := opened.last("p")) > 0 and opened.blocks[-1] == k:
+                close(k)
+            if tag in IMPLIED:
+                ends, beyond = IMPLIED[tag]
+                while (k := opened.last(*ends)) > opened.last(*beyond):
+                    close(k)
+                    if tag != "tr":
                         break
             flush()
             parent = stack[-1][1]
@@ -192,11 +221,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             up = nodes[parent]
             up.children += 1
             nodes.append(Node(tag, parent, up.depth + 1, TOKEN.findall(found), up.children, tag in HIDDEN))
-            stack.append((tag, len(nodes) - 1))
+            opened.push(tag, len(nodes) - 1)
         else:
-            stack.append((tag, stack[-1][1]))
-            if tag == "a":
-                in_link = True
+            opened.push(tag, stack[-1][1])
         hidden += tag in HIDDEN
     flush()
     for n in reversed(nodes[1:]):  # a node stands after its parent, so its subtree is summed before it is passed on
@@ -354,20 +381,23 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 3):
         yield f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>{body}</body></html>"
 
 
-@functools.lru_cache(maxsize=2)
-def trained(pages: int = TRAINING_PAGES) -> boosting.Trees:
+def marked_blocks(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """(features, 1 where the subtree holds article text) of the nodes of a page with marks."""
+    nodes, blocks = parse(page)
+    wanted = np.zeros(len(nodes))
+    for at, text in blocks:
+        while "\ue000" in text and at >= 0:
+            wanted[at] = 1
+            at = nodes[at].parent
+    return features(nodes), wanted
+
+
+@functools.lru_cache(maxsize=4)
+def trained(pages: int = TRAINING_PAGES, templates: int = TEMPLATE_PAGES, families: tuple[str, ...] = tuple(page_templates.FAMILIES)) -> boosting.Trees:
     """Trees fitted on generated pages: does a node's subtree hold article text?"""
-    xs, ys = [], []
-    for page in training_pages(pages):
-        nodes, blocks = parse(page)
-        wanted = np.zeros(len(nodes))
-        for at, text in blocks:
-            while "\ue000" in text and at >= 0:
-                wanted[at] = 1
-                at = nodes[at].parent
-        xs.append(features(nodes))
-        ys.append(wanted)
-    return boosting.fit(np.concatenate(xs), np.concatenate(ys), rounds=60, depth=5, rate=0.2, least=6)
+    known = [marked_blocks(p) for p in (*training_pages(pages), *page_templates.pages(templates, 3, families))]
+    x, y = (np.concatenate(c) for c in zip(*known, strict=True))
+    return boosting.fit(x, y, rounds=60, depth=5, rate=0.2, least=6)
 
 
 def extract(pages: list[str], model: boosting.Trees) -> list[str]:

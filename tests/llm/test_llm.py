@@ -1,5 +1,6 @@
 """Brute-force versions, round trips and hard cases of the training-data operators, all on small tables."""
 
+import collections
 import hashlib
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumetra.llm import chat_format, components, decontaminate, fingerprint, html_extract, jaccard_join, line_dedup, packing, suffix_dedup, toxicity, url_filter
+from lumetra.llm import chat_format, components, decontaminate, fingerprint, html_extract, jaccard_join, line_dedup, packing, page_templates, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, pos int, key string, n long, part int"
 
@@ -219,6 +220,58 @@ def test_html_extraction_on_unseen_layouts(spark):
     assert right >= 0.95 * len(pages)
 
 
+def word_f1(want, got):
+    a, b = collections.Counter(want.split()), collections.Counter(got.split())
+    return 2 * sum((a & b).values()) / max(sum(a.values()) + sum(b.values()), 1) if a or b else 1.0
+
+
+def test_html_extraction_on_templates_held_out():
+    known = tuple(f for f in page_templates.FAMILIES if f not in page_templates.HELD_OUT)
+    model, scores = html_extract.trained(300, 450, known), {}
+    for name in page_templates.FAMILIES:
+        for page in page_templates.pages(30, 77, (name,)):
+            _, blocks = html_extract.parse(page)
+            want = "\n".join(t.replace("\ue000", "").strip() for _, t in blocks if "\ue000" in t)
+            scores.setdefault(name, []).append(word_f1(want, html_extract.extract([page.replace("\ue000", "")], model)[0]))
+    means = {k: float(np.mean(v)) for k, v in scores.items()}
+    assert all(means[f] > 0.8 for f in page_templates.HELD_OUT) and np.mean([means[f] for f in page_templates.HELD_OUT]) > 0.9, means
+    assert all(means[f] > 0.95 for f in known), means
+
+
+def test_pages_without_frames_keep_every_block():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdeghilmnoprstu") for _ in range(r.randint(2, 8)))
+    for n in (2, 12):
+        paragraphs = [" ".join(word() for _ in range(24)).capitalize() + "." for _ in range(n)]
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        menu = "<ul>" + "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(6)) + "</ul>"
+        made = [f"<body>{body}</body>", f"<div>{body}</div>", f"<section>{body}</section>", f"<body><nav>{menu}</nav><div>{body}</div><footer>&copy; {word()}</footer></body>", f"<body><div id=m>{menu}</div><div id=c>{body}</div></body>"]
+        made += [f'<article class="featured comments-open">{body}</article>', f'<div class="post has-sidebar with-comments">{body}</div>']
+        for page, text in zip(made, html_extract.extract(made, html_extract.trained()), strict=True):
+            assert text == "\n".join(paragraphs), page[:60]
+
+
+def test_html_inline_controls_and_unmatched_ends():
+    import time
+
+    read = lambda page: [t for _, t in html_extract.parse(page)[1]]
+    assert read("<p>press <button>Go</button> now, and the sum is <math><mi>x</mi></math> here.</p><button>Share</button><p>b</p>") == ["press Go now, and the sum is x here.", "b"]
+    assert read("<p>a</p><select><option>no</option></select><div>c <a>d<p>e</a> f</div>g") == ["a", "c d", "e f", "g"]
+    for page in ("<b>" * 150_000 + "</i>" * 150_000, "<a>" * 70_000 + "<p>x</a>" * 70_000, "<p>x" + "</q>" * 250_000, "<table>" * 3_000 + "<td>x</p>" * 30_000):
+        began = time.perf_counter()
+        html_extract.parse(page)
+        assert time.perf_counter() - began < 6, page[:20]
+
+
+def test_html_of_repeated_rows_and_other_columns(spark):
+    page = "<article><h1>A title</h1>" + "<p>Some words of a paragraph stand here, and more of them.</p>" * 3 + "</article>"
+    rows = [(1, "u", page, "t", 5)] * 2 + [(None, None, page, "t", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html_extract.extract_pages(df).collect()
+    assert len(got) == 3 and {r.text.split("\n")[0] for r in got} == {"A title"} and {r.n_chars for r in got} == {len(got[0].text)}
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
 def test_html_reader_and_hard_cases(spark):
     page = "<body><nav><a href=/>Menu</a></nav><!-- c --><article><h1>A &amp; B</h1><p>one <b>two</b>\n three<br>four<p>five</p><script>x<p></script></article><footer>f</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<"), (5, "u", "<!-- open"), (6, "u", "<p" + " x" * 5000)]
