@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, filter_audit, fingerprint, html_extract, jaccard_join, line_dedup, packing, ranked_search, substring_dedup, suffix_dedup, toxicity, url_filter
+from .storage import cleanup  # noqa: F401
 from .text import utf8_sha256
 
 
