@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
-from ..operators import crawl, split
+from ..operators import crawl, reports, split
 from ..operators import evaluation as E
 from ..sources.shared import shared_dir
 from ..sources.tables import digest, header_of, read_csv, read_json_records, replace_checked, table, url_tail, write_json_records, write_metrics, write_ordered, write_parquet_checked
@@ -483,3 +483,20 @@ def replaced_table(spark, d):
     backups = [b for b in (replace_checked(old, path), replace_checked(new, path)) if b]
     kept = digest(spark.read.schema(old.schema).parquet(backups[0])) == digest(old)
     return spark.read.schema(new.schema).parquet(path).select("*", F.lit(2).alias("writes"), F.lit(len(backups)).alias("backups"), F.lit(kept).alias("before_kept"))
+
+
+@query("""WITH l AS (SELECT coalesce(lang, '') AS lang, count(*) AS n, avg(n_chars) AS mean FROM documents GROUP BY 1), t AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1),
+x AS (SELECT 0 AS part, 0 AS k, unnest(['# Corpus', '', '## Languages', '', 'Documents and their mean length.', '', '| lang | documents | mean_chars |', '| --- | --- | --- |']) AS line
+UNION ALL SELECT 1, row_number() OVER (ORDER BY lang), '| ' || lang || ' | ' || n || ' | ' || printf('%.4f', mean) || ' |' FROM l UNION ALL SELECT 2, 0, unnest(['', '## Labels', '', '| toxic | rows |', '| --- | --- |'])
+UNION ALL SELECT 3, row_number() OVER (ORDER BY toxic), '| ' || toxic || ' | ' || n || ' |' FROM t UNION ALL SELECT 4, 0, '')
+SELECT line, count(*) AS times, max(part) AS part FROM x GROUP BY 1""")
+def report_lines(spark, d):
+    """A report of the corpus as it stands on disk: its lines, how often each, and the last part that has it."""
+    by_lang = table(spark, d, "documents").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("documents"), F.avg("n_chars").alias("mean_chars")).orderBy("lang")
+    by_label = table(spark, d, "labels").groupBy("toxic").agg(F.count("*").alias("rows")).orderBy("toxic")
+    sections = [reports.section("Languages", by_lang, "Documents and their mean length."), reports.section("Labels", by_label)]
+    lines = reports.write_report("Corpus", sections, f"{shared_dir(spark)}/report-{uuid.uuid4().hex}", by_lang)
+    ends = [8, len(sections[0]) + 1]  # lines of the head, and where the table of languages ends
+    part = F.when(F.col("number") < ends[0], 0).when(F.col("number") < ends[1], 1).when(F.col("number") < ends[1] + 5, 2)
+    part = part.when(F.col("number") < ends[1] + len(sections[1]), 3).otherwise(4)
+    return lines.withColumn("part", part).groupBy("line").agg(F.count("*").alias("times"), F.max("part").alias("part"))

@@ -29,7 +29,8 @@ def _fitted(spark, d, kind):
 def _metrics(kind):
     def run(spark, d):
         _, model, test = _fitted(spark, d, kind)
-        return ml.report(ml.decision(model.bestModel, test)).withColumn("cv_f1", F.round(F.lit(max(model.avgMetrics)), 6))
+        best = max(range(len(model.avgMetrics)), key=lambda i: model.avgMetrics[i])
+        return ml.report(ml.decision(model.bestModel, test)).withColumns({"cv_f1": F.round(F.lit(model.avgMetrics[best]), 6), "cv_f1_std": F.round(F.lit(float(model.stdMetrics[best])), 6)})
 
     query(None, f"{kind}_metrics")(run)
 
