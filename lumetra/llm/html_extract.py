@@ -58,6 +58,8 @@ OPEN_END = re.compile(r"<(?:(!--.*$)|(![^>]*|\?[^>]*)|(/?)(?!)()())", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile("[ \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 TOKEN = re.compile("[a-z]+")
+#: Class names that say what a page has or allows, and not what the element is.
+FLAG = re.compile(r"(?<![\w-])(?:(?:has|with|no|show|hide|is)[-_][\w-]+|[\w-]+[-_](?:open|closed|on|off|enabled|disabled|free))(?![\w-])")
 
 
 class Node:
@@ -220,7 +222,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             found = " ".join(x for t in ATTRIBUTE.findall(m[5]) for x in t).lower() if "=" in m[5] else ""
             up = nodes[parent]
             up.children += 1
-            nodes.append(Node(tag, parent, up.depth + 1, TOKEN.findall(found), up.children, tag in HIDDEN))
+            nodes.append(Node(tag, parent, up.depth + 1, TOKEN.findall(FLAG.sub(" ", found)), up.children, tag in HIDDEN))
             opened.push(tag, len(nodes) - 1)
         else:
             opened.push(tag, stack[-1][1])
