@@ -157,6 +157,11 @@ def accepted_link(href: Column, prefixes: list[str], excludes: list[str]) -> Col
     return out if not excludes else out & ~F.exists(F.lit(excludes), lambda e: F.contains(href, e))
 
 
+def title_and_text(title: Column, body: Column) -> Column:
+    """Title, a space and text; a null of either is empty, so the space always stands."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
+
+
 def numbered_list(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n\n")
 

@@ -178,3 +178,9 @@ def rerank(cache: DataFrame, reranker: Reranker) -> DataFrame:
 
     out = cache.select("query_id", "query", "candidates").mapInPandas(run, "query_id long, choice int")
     return out.withColumn("outcome", F.when(F.col("choice") > 0, "chosen").when(F.col("choice") == 0, "abstain").otherwise("fail"))
+
+
+def nearest_overall(queries: DataFrame, base: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` queries that are nearest to their nearest base vector: (a, b, cos, rank), ties by id; no task sorts all."""
+    top = nearest(queries, base).orderBy(F.desc("cos"), "a").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cos"), "a")))  # of k rows

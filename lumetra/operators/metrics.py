@@ -22,6 +22,19 @@ def prf(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     return {"accuracy": _ratio(tp + tn, tp + fp + fn + tn), "precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)}
 
 
+def attribute_accuracy(pairs: DataFrame, attributes: list[str], gold: str = "gold", found: str = "found") -> DataFrame:
+    """A row an attribute: rows, the share whose structs ``gold`` and ``found`` agree in it, and the macro mean of the shares.
+
+    Two nulls agree, a null and a value don't; without rows the shares are null.
+    """
+    agree = [F.avg(F.col(f"{gold}.`{a}`").eqNullSafe(F.col(f"{found}.`{a}`")).cast("double")) for a in attributes]
+    shares = pairs.agg(F.count("*").alias("rows"), F.array(*agree).alias("shares"))
+    macro = F.aggregate("shares", F.lit(0.0), lambda t, x: t + x) / len(attributes)
+    named = F.arrays_zip(F.lit(list(attributes)).alias("attribute"), F.col("shares").alias("share"))
+    each = shares.select("rows", F.round(macro, 6).alias("macro_accuracy"), F.explode(named).alias("x"))
+    return each.select(F.col("x.attribute").alias("attribute"), "rows", F.round("x.share", 6).alias("accuracy"), "macro_accuracy")
+
+
 def confusion(df: DataFrame, label: Column, predicted: Column, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn and the metrics, in all or by group."""
     n = lambda c: F.count_if(c)

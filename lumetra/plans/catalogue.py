@@ -1,4 +1,4 @@
 """Every registered query with its oracle SQL."""
 
-from . import evaluation_queries, linkage_queries, model_queries, table_queries, text_queries, workflow_queries  # noqa: F401
+from . import collection_queries, evaluation_queries, linkage_queries, model_queries, table_queries, text_queries, workflow_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -36,6 +36,17 @@ def read_json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("_broken IS NULL").drop("_broken")
 
 
+def read_reference_list(spark: SparkSession, path: str, field: str, lines: bool = False) -> DataFrame:
+    """(name): the distinct names under ``field`` of saved answers, a folder whose files (with ``lines``, whose lines)
+    are JSON arrays or objects each; broken ones give no name.
+
+    Names are trimmed; null literals are no names, and names that differ in case only are one, in lower case.
+    """
+    name = F.lower(F.trim(F.col(f"`{field}`")))
+    rows = spark.read.schema(f"`{field}` string").json(path) if lines else read_json_folder(spark, path, f"`{field}` string")
+    return rows.where(~is_null_literal(F.col(f"`{field}`"))).select(name.alias("name")).distinct()
+
+
 def read_metric_lines(spark: SparkSession, path: str) -> DataFrame:
     """``key: value`` lines of text reports as (key, value)."""
     lines = spark.read.text(path)
