@@ -11,7 +11,7 @@ from ..functions import unicode
 from ..operators import chunks, leakage, metrics, page_search, split, text_model, vector_index
 from ..sources import models, resumable
 from ..sources.shared import materialised, shared_dir
-from ..sources.tables import table
+from ..sources.tables import table, table_stream
 from ..streaming import jobs, retry
 from .linkage_queries import _COS, _halves
 from .registry import query
@@ -140,8 +140,7 @@ SELECT key, CAST(attempt AS INTEGER) AS attempt, CASE WHEN attempt <= fails THEN
 CASE WHEN attempt <= fails THEN 0.0 ELSE attempt * 0.25 END::DOUBLE AS seconds, attempt <= fails AS failed, CASE attempt WHEN 1 THEN 0.0 WHEN 2 THEN 0.125 ELSE 0.25 END::DOUBLE AS waited FROM a""")
 def retried_calls(spark, d):
     """Every attempt at a service that refuses an order up to three times, from a stream of orders."""
-    schema = table(spark, d, "orders").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d).select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("payload"))
+    stream = table_stream(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("payload"))
     return retry.stream_with_retries(stream, retry.FailsFirst(4, 0.25), _folder(spark, "retries"), attempts=3, base=0.125)
 
 
@@ -151,7 +150,7 @@ _MESSAGES = "(SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'schema' WHEN page_
 @query(f"SELECT CASE WHEN reason IS NULL THEN 'good' ELSE 'quarantine' END AS sink, coalesce(reason, '') AS reason, count(*) AS n FROM {_MESSAGES} GROUP BY ALL")
 def dead_letters(spark, d):
     """Trigger messages made from pages: those that can't be used go to a quarantine, the stream goes on."""
-    stream = spark.readStream.schema(table(spark, d, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    stream = table_stream(spark, d, "pages")
     url, day = F.col("url"), F.lit("2024-02-01")
     whole = F.to_json(F.struct(url.alias("url"), day.alias("start_date"), F.when(F.col("page_id") % 13 == 0, F.lit("2024-01-01")).otherwise("2024-02-02").alias("end_date")))
     value = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit('{"url": "'), url)).when(F.col("page_id") % 11 == 0, F.lit('{"entity_type": "news"}')).when(F.col("page_id") % 13 == 0, whole).when(F.col("page_id") % 17 == 0, F.lit("  ")).otherwise(whole)

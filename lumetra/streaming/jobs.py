@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table_stream
+
 TRIGGER = "data_source string, url string, entity_type string, start_date date, end_date date, parameters struct<portal: string, page_1_url: string>"
 
 
@@ -52,11 +54,13 @@ def route(triggers: DataFrame) -> DataFrame:
     return triggers.withColumn("route", F.when(F.col("url").rlike("^[^:]+/"), "folder").when(F.col("start_date").isNull(), "collect_all").otherwise("dated"))
 
 
-def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table as a file stream; ``ts`` becomes a timestamp for watermarks."""
-    held = spark.read.parquet(f"{sf_dir}/events.parquet")
-    raw = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a file stream; ``ts`` becomes a timestamp for watermarks.
+
+    Files of a stored table are in no order of time, so they are one micro-batch unless ``files_per_trigger`` parts them:
+    the watermark of one file would refuse the rows of the next.
+    """
+    return table_stream(spark, sf_dir, "events", files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def first_of_key(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
