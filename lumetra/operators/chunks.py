@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,30 +40,70 @@ def chunked(rows: DataFrame, key: str, text: str, size: int = 600, overlap: int
     return out.select(F.col("__key").alias(key), "chunk", "start", "end")
 
 
-def _counted(rows: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
-    return rows.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count("*").cast("double").alias("tf"))
+def listed(rows: DataFrame, key: str, text: str, size: int = 600, overlap: int = 100) -> DataFrame:
+    """(key, chunks): the fixed chunks of each text as one array of (start, chunk); nothing is shuffled. Null and blank texts have no row."""
+    t, step = F.col(text), size - overlap
+    starts = F.sequence(F.lit(0), F.greatest(F.length(t) - overlap, F.lit(1)) - 1, F.lit(step))
+    return rows.where(t.rlike(r"\S")).select(key, F.transform(starts, lambda s: F.struct(s.cast("int").alias("start"), F.substring(t, s + 1, F.lit(size)).alias("chunk"))).alias("chunks"))
 
 
 def top_chunks(chunks: DataFrame, key: str, questions: DataFrame, k: int = 2) -> DataFrame:
+    """``top_listed`` of chunks that are a row each: (key, chunk, start)."""
+    return top_listed(chunks.groupBy(key).agg(F.collect_list(F.struct("start", "chunk")).alias("chunks")), key, questions, k)
+
+
+def top_listed(documents: DataFrame, key: str, questions: DataFrame, k: int = 2, at_once: int = 256) -> DataFrame:
     """(key, question, rank, start, score): each document's k best chunks for each question, by TF-IDF cosine.
 
-    idf is counted among the document's own chunks, ln((1 + chunks) / (1 + df)) + 1, so a term that all of them share
-    says little. ``questions`` (question, text) is a small fixed set and is broadcast; a question's terms that the
-    document lacks count with df 0. Equal scores go to the earlier chunk, and chunks without a common term score 0.
+    ``documents`` has a row a document, as ``listed`` gives it. idf is counted among the document's own chunks,
+    ln((1 + chunks) / (1 + df)) + 1, so a term that all of them share says little; so all that a document's scores need
+    stands in its row, and no row of a term is shuffled. ``questions`` (question, text) is a small fixed set; a question's
+    terms that the document lacks count with df 0. Equal scores go to the earlier chunk, and chunks without a common term
+    score 0. Words go by 64-bit names, ``at_once`` documents at a time.
     """
-    places = chunks.select(key, "start")
-    post = _counted(chunks, [key, "start"], T.word_tokens(F.col("chunk")))
-    sizes = places.groupBy(key).agg(F.count("*").alias("chunks"))
-    df = post.groupBy(key, "term").agg(F.count("*").alias("df"))
-    idf = lambda: F.log((1.0 + F.col("chunks")) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
-    held = post.join(df, [key, "term"]).join(sizes, key).select(key, "start", "term", (F.col("tf") * idf()).alias("w"))
-    norms = held.groupBy(key, "start").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = F.broadcast(_counted(questions, ["question"], T.word_tokens(F.col("text"))))
-    # every document meets every question: a fixed set of a few rows
-    wanted = sizes.join(asked, F.lit(True)).join(df, [key, "term"], "left").select(key, "question", "term", (F.col("tf") * idf()).alias("wq"))
-    lengths = wanted.groupBy(key, "question").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("length"))
-    dots = wanted.join(held, [key, "term"]).groupBy(key, "question", "start").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    scored = dots.join(norms, [key, "start"]).join(lengths, [key, "question"]).select(key, "question", "start", F.round(F.col("dot") / F.col("norm") / F.col("length"), 6).alias("score"))
-    every = places.join(F.broadcast(questions.select("question")), F.lit(True)).join(scored, [key, "question", "start"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    w = Window.partitionBy(key, "question").orderBy(F.desc("score"), "start")
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "question", "rank", "start", "score")
+    import numpy as np
+    import pyarrow as pa
+
+    names = lambda c: F.transform(T.word_tokens(c), lambda w: F.xxhash64(w))
+    asked = [(r.question, *np.unique(np.array(r.names, dtype="int64"), return_counts=True)) for r in questions.select("question", names(F.col("text")).alias("names")).collect()]
+    own = documents.select(F.col(key).alias("key"), F.transform("chunks", lambda c: c["start"]).alias("starts"), F.transform("chunks", lambda c: names(c["chunk"])).alias("names"))
+
+    def scores(words, sizes):
+        """A row a question of each chunk's score; ``words`` are those of all chunks, ``sizes`` how many each has."""
+        n, place = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        terms, term = np.unique(words, return_inverse=True)
+        pair, tf = np.unique(place * max(len(terms), 1) + term, return_counts=True)
+        place, term = pair // max(len(terms), 1), pair % max(len(terms), 1)
+        df = np.bincount(term, minlength=len(terms))
+        w = tf * (np.log((1.0 + n) / (1.0 + df[term])) + 1.0)
+        norm = np.sqrt(np.bincount(place, w * w, minlength=n))
+        for _, theirs, counts in asked:
+            at = np.minimum(np.searchsorted(terms, theirs), max(len(terms) - 1, 0))
+            known = terms[at] == theirs if len(terms) else np.zeros(len(theirs), bool)
+            wq = counts * (np.log((1.0 + n) / (1.0 + np.where(known, df[at] if len(df) else 0, 0))) + 1.0)
+            of_term = np.zeros(len(terms))
+            of_term[at[known]] = wq[known]
+            dot, length = np.bincount(place, w * of_term[term], minlength=n), np.sqrt((wq * wq).sum())
+            yield np.divide(dot, norm * length, out=np.zeros(n), where=dot > 0)
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, at_once):
+                out = [[], [], []]
+                part = batch.slice(s, at_once)
+                for i in range(part.num_rows):
+                    chunks = part["names"][i].values
+                    sizes = np.diff(chunks.offsets.to_numpy())
+                    for (question, _, _), x in zip(asked, scores(chunks.flatten().to_numpy(), sizes), strict=True):
+                        for held, value in zip(out, (i, question, x), strict=True):
+                            held.append(value)
+                rows = pa.array(out[0], pa.int32())
+                yield pa.RecordBatch.from_arrays([part["key"].take(rows), pa.array(out[1], kind), part["starts"].take(rows), pa.array(out[2], pa.list_(pa.float64()))], names=["key", "question", "starts", "scores"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(questions.schema["question"].dataType)
+    schema = f"key {own.schema['key'].dataType.simpleString()}, question {questions.schema['question'].dataType.simpleString()}, starts array<int>, scores array<double>"
+    each = F.zip_with("starts", "scores", lambda at, x: F.struct((-F.round(x, 6)).alias("score"), at.alias("start")))
+    best = own.mapInArrow(run, schema).select("key", "question", F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("at", "x"))
+    return best.select(F.col("key").alias(key), "question", (F.col("at") + 1).alias("rank"), F.col("x.start").alias("start"), (-F.col("x.score")).alias("score"))

@@ -62,8 +62,7 @@ SELECT doc_id, question, CAST(row_number() OVER (PARTITION BY doc_id, question O
 def top_two_chunks(spark, d):
     """The two best chunks of every document for four fixed questions, idf among the document's own chunks."""
     questions = table(spark, d, "benchmark").orderBy("item_id").limit(4).select(F.col("item_id").alias("question"), "text")
-    held = materialised(chunks.chunked(table(spark, d, "documents"), "doc_id", "text", 600, 100, fixed=True))
-    return chunks.top_chunks(held, "doc_id", questions, 2)
+    return chunks.top_listed(chunks.listed(table(spark, d, "documents"), "doc_id", "text", 600, 100), "doc_id", questions, 2)
 
 
 # models: squared hinge, saved, checked for leaks
