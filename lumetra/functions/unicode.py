@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .python_udfs import by_parts
+
 #: Letters and signs up to U+00FF whose decomposition differs, by form; computed from the character database.
 LATIN_1 = [chr(c) for c in range(0x80, 0x100)]
 
@@ -34,9 +36,9 @@ def without_marks(c: Column, form: str = "nfd") -> Column:
     """Null stays null. ``form`` is nfd or nfkd."""
     strip = STRIP[form]
 
-    @F.pandas_udf("string")
-    def beyond(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else strip(t))
+    @F.arrow_udf("string")
+    def beyond(texts: pa.Array) -> pa.Array:
+        return by_parts(texts, lambda t: None if t is None else strip(t), pa.string())
 
     single = {x: strip(x) for x in LATIN_1 if strip(x) != x and len(strip(x)) == 1}
     folded = F.translate(c, "".join(single), "".join(single.values()))
