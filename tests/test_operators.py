@@ -53,6 +53,29 @@ def test_near_duplicates_match_brute_force(spark):
     assert greedy == removed and greedy <= earlier
 
 
+def test_blocks_find_all_alike_vectors_and_write_no_others(spark):
+    """All vectors share terms: a join by term wrote a row for each two of them."""
+    import numpy as np
+
+    from lumetra.operators import similar
+
+    r = np.random.default_rng(3)
+    dense = np.zeros((300, 60))
+    for i in range(300):
+        dense[i] = dense[r.integers(0, i)] + 0.1 * r.random(60) if i % 3 == 2 else r.random(60) ** 4 * (r.random(60) < 0.5)
+        dense[i, 0] = 0.2
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    rows = [(i, [int(t) for t in np.flatnonzero(v)], [float(x) for x in v[v > 0]]) for i, v in enumerate(dense)] + [(300, [], [])]
+    df = spark.createDataFrame(rows, "id long, terms array<int>, ws array<double>")
+    cos = np.round(dense @ dense.T, 9)
+    for least in (0.9, 0.6):
+        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if cos[i, j] >= least}
+        assert {(x.i, x.j) for x in similar.pairs(df, least).collect()} == want and want
+        assert similar.near(df, least, block=50).count() <= len(want) + 5
+        sides = similar.pairs(df.where("id < 200"), least, df.where("id >= 200")).collect()
+        assert {(x.i, x.j) for x in sides} == {(i, j) for i, j in want if i < 200 <= j}
+
+
 def test_greedy_leader_decides_long_chains(spark):
     chain = spark.range(1, 300).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
     assert {x.id for x in dedup.greedy_leader(chain).collect()} == set(range(2, 301, 2))
