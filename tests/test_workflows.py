@@ -369,3 +369,19 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
         want, got = (getattr(workflow_queries, query)(spark, d) for d in (DATA, str(tmp_path)))
         columns = sorted(want.columns)
         assert sorted(map(str, want.select(columns).collect())) == sorted(map(str, got.select(columns).collect()))
+
+
+def test_texts_are_weighed_in_their_rows(spark):
+    """Vectors shuffle nothing; repeated keys are one document, a null text has no term, ties go by term."""
+    rows = spark.createDataFrame([(1, "b a b", 1), (2, "a c", 0), (3, None, 0), (4, "zz", 1), (5, "b c", 1)], "doc_id long, text string, label int")
+    vocabulary = text_model.fit_vocabulary(rows, "doc_id", "text", 2)
+    assert [(x.term, x["index"]) for x in vocabulary.orderBy("index").collect()] == [("b", 0), ("a", 1)]
+    out = text_model.vectorise(rows, "doc_id", "text", vocabulary)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {x.doc_id: (x.label, list(x.indices), [round(v, 9) for v in x["values"]]) for x in out.collect()}
+    two = [round(v, 9) for v in (2 / 5**0.5, 1 / 5**0.5)]
+    assert got == {1: (1, [0, 1], two), 2: (0, [1], [1.0]), 3: (0, [], []), 4: (1, [], []), 5: (1, [0], [1.0])}
+    again = spark.createDataFrame([(1, "b a", 1), (1, "b", 0), (None, "a", 1)], "doc_id long, text string, label int")
+    got = sorted((str(x.doc_id), x.label, [round(v, 9) for v in x["values"]]) for x in text_model.vectorise(again, "doc_id", "text", vocabulary).collect())
+    assert got == [("1", 0, two), ("1", 1, two), ("None", 1, [1.0])]
+    assert {(x.term, round(x.idf, 9)) for x in text_model.fit_vocabulary(again, "doc_id", "text", 9, 1, 1.0).collect()} >= {("a", round(math.log(4 / 3) + 1, 9)), ("b", round(math.log(4 / 2) + 1, 9))}
