@@ -385,3 +385,16 @@ def test_texts_are_weighed_in_their_rows(spark):
     got = sorted((str(x.doc_id), x.label, [round(v, 9) for v in x["values"]]) for x in text_model.vectorise(again, "doc_id", "text", vocabulary).collect())
     assert got == [("1", 0, two), ("1", 1, two), ("None", 1, [1.0])]
     assert {(x.term, round(x.idf, 9)) for x in text_model.fit_vocabulary(again, "doc_id", "text", 9, 1, 1.0).collect()} >= {("a", round(math.log(4 / 3) + 1, 9)), ("b", round(math.log(4 / 2) + 1, 9))}
+
+
+def test_squared_hinge_works_its_rows_out_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([([0], [1.0 + i % 3], i % 2, 1.0) for i in range(40)] + [([], [], 1, 1.0)], "indices array<int>, values array<double>, label int, weight double")
+    model = svm.fit(rows.mapInArrow(count, rows.schema), 2, newton_steps=3)
+    assert made.value == 41 and model.loss < model.trace[0]
