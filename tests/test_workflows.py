@@ -398,3 +398,18 @@ def test_squared_hinge_works_its_rows_out_once(spark):
     rows = spark.createDataFrame([([0], [1.0 + i % 3], i % 2, 1.0) for i in range(40)] + [([], [], 1, 1.0)], "indices array<int>, values array<double>, label int, weight double")
     model = svm.fit(rows.mapInArrow(count, rows.schema), 2, newton_steps=3)
     assert made.value == 41 and model.loss < model.trace[0]
+
+
+def test_features_of_models_leave_the_driver_a_vocabulary_only(spark, monkeypatch):
+    """Spark's own fit of a vocabulary sends each task's best terms to the driver and counts texts anew for the idf."""
+    from pyspark.ml.feature import IDF, CountVectorizer
+
+    from lumetra.operators import ml
+
+    for kind in (CountVectorizer, IDF):
+        monkeypatch.setattr(kind, "fit", lambda *a: pytest.fail("fitted on the driver"))
+    rows = spark.createDataFrame([(1, "b a b"), (2, "a c"), (3, "b c 1.5"), (4, None)], "doc_id long, text string")
+    f = ml.TextFeatures(min_df=2, size=2).fit(rows, "text")
+    assert f.vocabulary == ["b", "a"]
+    got = {x.doc_id: x.features.toArray().round(9).tolist() for x in f.transform(rows).collect()}
+    assert got == {1: [round(2 / 5**0.5, 9), round(1 / 5**0.5, 9)], 2: [0, 1], 3: [1, 0], 4: [0, 0]}
