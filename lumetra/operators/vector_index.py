@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .split import hash_order
 
-#: Vectors that centres are fitted on, rows of a block, queries of a block.
-SAMPLE, BLOCK, QUERIES = 20_000, 4_096, 1_024
+#: Vectors that centres are fitted on, rows of a block, queries that are multiplied at once, and queries that a task holds.
+SAMPLE, BLOCK, QUERIES, HELD = 20_000, 4_096, 1_024, 32_768
 #: Cosines are rounded to six places; bounds leave room for it.
 SLACK = 2e-6
 
@@ -96,10 +96,15 @@ def visits(queries: DataFrame, cells: DataFrame) -> DataFrame:
     return pairs.withColumn("centre_at", away).withColumn("least", F.greatest(F.col("centre_at") - F.col("radius"), F.lit(0.0))).drop("centre", "radius")
 
 
-def _multiply(asked: DataFrame, index: DataFrame, cells: DataFrame, k: int) -> DataFrame:
-    """(q, id, cos): each visit's k best rows within its limit; ``asked`` has q, qv, cell, blocks, centre_at and within."""
+def _multiply(asked: DataFrame, index: DataFrame, cells: DataFrame, k: int, parts: int = 1) -> DataFrame:
+    """(q, id, cos): each visit's k best rows within its limit; ``asked`` has q, qv, cell, blocks, centre_at and within.
+
+    Queries are dealt to ``parts``, each of which meets all blocks, so that no task holds all queries of a cell.
+    """
     blocks = index.join(F.broadcast(cells.select("cell", "blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    a = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("q", "qv", "cell", "block", "centre_at", "within")
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"))
+    a = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("q", "qv", "cell", "block", "part", "centre_at", "within")
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"q": np.empty(0, "int64"), "id": np.empty(0, "int64"), "cos": np.empty(0)})]
@@ -118,7 +123,7 @@ def _multiply(asked: DataFrame, index: DataFrame, cells: DataFrame, k: int) -> D
                 out.append(pd.DataFrame({"q": z["q"].to_numpy()[i], "id": ids[some][order[i, j]], "cos": own[i, j]}))
         return pd.concat(out)
 
-    return a.groupBy("cell", "block").cogroup(blocks.groupBy("cell", "block")).applyInPandas(best, "q long, id long, cos double")
+    return a.groupBy("cell", "block", "part").cogroup(blocks.groupBy("cell", "block", "part")).applyInPandas(best, "q long, id long, cos double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -135,18 +140,19 @@ def plan(queries: DataFrame, folder: str, k: int) -> tuple[DataFrame, DataFrame]
     return all_visits.where("true").withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < k).drop("before"), all_visits
 
 
-def search(queries: DataFrame, folder: str, k: int = 10) -> DataFrame:
-    """(a, b, rank, cos): the k nearest indexed rows of each query (id, v), exactly."""
+def search(queries: DataFrame, folder: str, k: int = 10, held: int = HELD) -> DataFrame:
+    """(a, b, rank, cos): the k nearest indexed rows of each query (id, v), exactly; a task holds about ``held`` queries."""
     from ..sources.shared import materialised
 
     spark = queries.sparkSession
     cells = spark.read.schema("cell int, radius double, n long, centre array<double>, blocks int").parquet(f"{folder}/cells")
     index = _rows(spark, f"{folder}/placed")
     first, every = plan(queries, folder, k)
-    start = materialised(_top(_multiply(first.withColumn("within", F.lit(4.0)), index, cells, k), k))
+    parts = max(1, -(-queries.count() // held))
+    start = materialised(_top(_multiply(first.withColumn("within", F.lit(4.0)), index, cells, k, parts), k))
     kth = start.where(F.col("rank") == k).select("q", "cos")
     rest = second_visits(first, every, kth)
-    more = _multiply(rest, index, cells, k)
+    more = _multiply(rest, index, cells, k, parts)
     out = _top(start.select("q", "id", "cos").unionByName(more), k)
     return out.select(F.col("q").alias("a"), F.col("id").alias("b"), "rank", "cos")
 

@@ -413,3 +413,13 @@ def test_features_of_models_leave_the_driver_a_vocabulary_only(spark, monkeypatc
     assert f.vocabulary == ["b", "a"]
     got = {x.doc_id: x.features.toArray().round(9).tolist() for x in f.transform(rows).collect()}
     assert got == {1: [round(2 / 5**0.5, 9), round(1 / 5**0.5, 9)], 2: [0, 1], 3: [1, 0], 4: [0, 0]}
+
+
+def test_index_deals_queries_to_tasks(spark, tmp_path):
+    """A cell's queries are held some at a time, and are answered alike."""
+    r = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(120)], "id long, v array<double>")
+    vector_index.build(rows, str(tmp_path), cells=2)
+    whole = sorted(map(tuple, vector_index.search(rows, str(tmp_path), 3).collect()))
+    parts = vector_index.search(rows, str(tmp_path), 3, held=10)
+    assert sorted(map(tuple, parts.collect())) == whole and len(whole) == 360
