@@ -137,6 +137,18 @@ def test_lines_with_an_earlier_near_copy_match_brute_force(spark):
     assert {name[x.lid] for x in line_dedup.near_earlier(texts).collect()} == {b for _, b in pairs}
 
 
+def test_words_are_listed_once_and_bounds_are_judged_in_the_join(spark):
+    passage, own = [f"p{i}" for i in range(20)], lambda c, n: [f"{c}{i}" for i in range(n)]
+    lines = [passage + own("a", 20), own("b", 5) + passage + own("c", 15), passage + own("d", 21), own("e", 1) + passage + own("f", 19), ["same"] * 60, ["same"] * 61]
+    texts = line_dedup.distinct_lines(frame(spark, list(enumerate(" ".join(x) for x in lines))), 1)
+    name = {x.lid: [" ".join(y) for y in lines].index(x.line) for x in texts.collect()}
+    found = line_dedup.proposed(texts)
+    pairs = [tuple(sorted((name[x.lid], name[x.other]))) for x in found.collect()]
+    # 5 places apart are over the 4 edits of 40 words, and 4 places too: what moved has to move back
+    assert set(pairs) == {(0, 2), (0, 3), (2, 3), (4, 5)} and pairs.count((4, 5)) == 1
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_dedup_of_hard_rows(spark):
     long = " ".join(f"word{i}" for i in range(3000))
     rows = [*HARD, (7, long), (8, long.replace("word5 ", "other ")), (9, "\n".join(["x"] * 4000)), (10, "a\n\n \nb\na"), (10, "a\nc")]
