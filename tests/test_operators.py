@@ -278,3 +278,16 @@ def test_linkage_shuffles_no_postings(spark, monkeypatch, common):
     assert all(x.score == pytest.approx(want[x.query_id, x["rank"]][1], abs=2e-6) for x in got)
     blocked = linkage.tfidf_top_k(q, rows.dropDuplicates(["doc_id"]), 40, ["block"]).collect()
     assert len(blocked) == 6 * 16 and all(x.doc_id % 2 == x.query_id % 2 for x in blocked)
+
+
+@pytest.mark.parametrize("method", ["jaccard", "dice", "overlap"])
+def test_best_by_sets_gives_the_scores_of_all_pairs(spark, method):
+    r = random.Random(3)
+    words = lambda: " ".join(r.choice("abcdefghijklmnopqrst") * 2 for _ in range(r.randint(0, 9)))
+    q = spark.createDataFrame([(i, f"b{i % 3}", words()) for i in range(40)], "query_id long, block string, q string")
+    b = spark.createDataFrame([(i, f"b{i % 3}", words()) for i in range(200)], "doc_id long, block string, b string")
+    asked, texts = linkage.described(q, "query_id", "q")[0], linkage.described(b, "doc_id", "b")[0]
+    rows = lambda df: sorted(map(tuple, df.select("block", "query_lead", "lead", "score").collect()))
+    want = rows(linkage.top_k(linkage.class_scores(asked, texts, method), 10, "query_lead", "lead"))
+    assert rows(linkage.best_by_sets(asked, texts, method, 10)) == want
+    assert rows(linkage.best_by_sets(asked, texts, method, 10, at_once=7, rows=31)) == want
