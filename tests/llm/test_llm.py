@@ -509,6 +509,19 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert all(x.score == 0 for x in toxicity.toxicity(frame(spark, rows[:5]), labels.limit(0)).collect())
 
 
+def test_toxicity_training_brings_telling_features_only(spark):
+    """The driver held all features of the 10,000 training rows; it stopped the pipeline over its memory."""
+    r = np.random.default_rng(3)
+    ids = [np.unique(np.append(r.integers(0, toxicity.SPACE, 200), [7, 9] if i % 4 == 0 else [9])).astype(np.int32) for i in range(200)]
+    rows = toxicity._telling_rows(spark.createDataFrame([(int(i % 4 == 0), bytearray(x.tobytes())) for i, x in enumerate(ids)], "kind int, ids binary"))
+    whole = {k: sorted(x.tobytes() for i, x in enumerate(ids) if (i % 4 == 0) == bool(k)) for k in (0, 1)}
+    a, b = (np.bincount(np.frombuffer(b"".join(whole[k]), np.int32), minlength=toxicity.SPACE) for k in (1, 0))
+    use = toxicity.telling(a, b, 50, 150)
+    assert use[7] and not use[9] and use.sum() < 5
+    assert {k: [x.tolist() for x in v] for k, v in rows.items()} == {k: [x[use[x]].tolist() for x in (np.frombuffer(x, np.int32) for x in v)] for k, v in whole.items()}
+    assert toxicity._telling_rows(spark.createDataFrame([(1, bytearray(b""))], "kind int, ids binary")) is None
+
+
 # shingle sets
 
 
