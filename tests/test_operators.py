@@ -291,3 +291,18 @@ def test_best_by_sets_gives_the_scores_of_all_pairs(spark, method):
     want = rows(linkage.top_k(linkage.class_scores(asked, texts, method), 10, "query_lead", "lead"))
     assert rows(linkage.best_by_sets(asked, texts, method, 10)) == want
     assert rows(linkage.best_by_sets(asked, texts, method, 10, at_once=7, rows=31)) == want
+
+
+def test_gold_documents_are_found_without_shuffling_texts(spark, tmp_path):
+    passages = ["a b c d e f", "x", "x y", "b c", "p q r", "zz b c d yy", "no such run is there", ""]
+    texts = ["1 a b c d e f 2", "a b c d e fog", "xx yy", "x y", "wp q rs", "zzz b c d yyy", "zz b c d", None, "", "a b c d e f"]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gold = linkage_queries._gold(spark, str(tmp_path))
+        assert {tuple(r) for r in gold.collect()} == {(i, j) for i, p in enumerate(passages) for j, t in enumerate(texts) if t is not None and p in t}
+        assert "SortMergeJoin" not in gold._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
