@@ -306,3 +306,12 @@ def test_gold_documents_are_found_without_shuffling_texts(spark, tmp_path):
         assert "SortMergeJoin" not in gold._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_json_records_are_written_by_all_cores(spark, tmp_path):
+    """A table of one row group was written by one task, a file after another."""
+    rows = [(i, f"https://h/{i % 7}", f"t{i % 7}") for i in range(40)]
+    tables.write_json_records(spark.createDataFrame(rows, "page_id long, url string, tail string").coalesce(1), str(tmp_path), "tail", "page_id")
+    back = tables.read_json_records(spark, str(tmp_path), "page_id long, url string, tail string").collect()
+    assert sorted((r.page_id, r.url, r.tail) for r in back) == rows and len({r.file for r in back}) == 40
+    assert len({r.file.rsplit("/part-", 1)[1][:5] for r in back}) == spark.sparkContext.defaultParallelism
