@@ -315,3 +315,19 @@ def test_json_records_are_written_by_all_cores(spark, tmp_path):
     back = tables.read_json_records(spark, str(tmp_path), "page_id long, url string, tail string").collect()
     assert sorted((r.page_id, r.url, r.tail) for r in back) == rows and len({r.file for r in back}) == 40
     assert len({r.file.rsplit("/part-", 1)[1][:5] for r in back}) == spark.sparkContext.defaultParallelism
+
+
+def test_names_are_found_without_carrying_texts(spark):
+    """Every word of a document carried its text to a join with all names of that first word."""
+    import re
+
+    from lumetra.operators import gazetteer
+
+    names = ["ana lima", "ana", "são joão", "x-ray", "ana  lima", "o'neil da silva", "(ana)", "lima da", "...", "a_1 b"]
+    texts = ["Ana Lima", "Mariana Lima", "ana  lima", "Ana, Lima", "SÃO JOÃO; x-ray!", "x-rays", "O'Neil da Silva", "o'neil da silvas", "(Ana) lima da", None, "", "a_1 b", "ba_1 b", " ana lima da\n"]
+    got = gazetteer.whole_word_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    want = {(i, n) for i, t in enumerate(texts) if t for n in names if n != "..." and re.search(rf"(^|\W){re.escape(n)}($|\W)", t.lower())}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    two = gazetteer.whole_word_matches(spark.createDataFrame([(1, "Ana Lima")], "doc_id long, text string"), spark.createDataFrame([("ana lima",)], "name string"))
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan[: plan.index("Generate")] and {tuple(r) for r in two.collect()} == {(1, "ana lima")}
