@@ -331,3 +331,20 @@ def test_names_are_found_without_carrying_texts(spark):
     two = gazetteer.whole_word_matches(spark.createDataFrame([(1, "Ana Lima")], "doc_id long, text string"), spark.createDataFrame([("ana lima",)], "name string"))
     plan = two._jdf.queryExecution().executedPlan().toString()
     assert "text#" not in plan[: plan.index("Generate")] and {tuple(r) for r in two.collect()} == {(1, "ana lima")}
+
+
+def test_one_task_solves_small_problems_by_the_same_steps(spark, monkeypatch):
+    from lumetra.operators import svm
+
+    r = random.Random(12)
+    rows = [(sorted(r.sample(range(20), 5)), [r.random() for _ in range(5)], int(i % 3 == 0), 1.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "indices array<int>, values array<double>, label int, weight double")
+    jobs, sums = [], svm._sums
+    monkeypatch.setattr(svm, "_sums", lambda *a: jobs.append(1) or sums(*a))
+    one = svm.fit(df, 20)
+    assert not jobs and one.newton_steps > 1
+    monkeypatch.setattr(svm, "ONE_TASK", 10)
+    many = svm.fit(df, 20)
+    assert jobs and abs(one.loss - many.loss) < 1e-9 and max(abs(one.weights - many.weights)) < 1e-6 and abs(one.intercept - many.intercept) < 1e-6
+    none = svm.fit(df.limit(0), 20)
+    assert not none.weights.any() and none.intercept == 0
